@@ -1,0 +1,4 @@
+"""Queries over the star-schema tables, one per operator family."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
