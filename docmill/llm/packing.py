@@ -16,7 +16,7 @@ from .tokens import ByteLevelTokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: In tokens of padding: what a cut at a sentence's end, a cut inside a sentence and another sequence cost.
-SENTENCE_CUT, HARD_CUT, SEQUENCE = 1, 8, 256
+SENTENCE_CUT, HARD_CUT, SEQUENCE = 1, 4, 256
 #: Tokens planned at a time, and how many windows at a plan's end are planned again with what follows.
 HORIZON, AGAIN = 1 << 19, 16
 
