@@ -9,6 +9,7 @@ from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import pick
 
@@ -111,7 +112,10 @@ def _ip(f: Feistel, text: str) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if any(p > 255 for p in parts) or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    x = f.permute("ipv4", 2**32, int.from_bytes(bytes(parts), "big"), lambda v: v >> 24 not in (0, 127) and v >> 24 < 224)
+    valid = lambda v: v >> 24 not in (0, 127) and v >> 24 < 224  # noqa: E731  neither this host nor multicast
+    if not valid(x := int.from_bytes(bytes(parts), "big")):
+        return None
+    x = f.permute("ipv4", 2**32, x, valid)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
@@ -131,7 +135,7 @@ def _date(f: Feistel, text: str) -> str | None:
     year_first = len(a) == 4
     if sep1 != sep2 or len(a if year_first else c) != 4:
         return None
-    month_first = not year_first and sep1 == "/"
+    month_first = not year_first and sep1 == "/" and int(a) <= 12
     y, m, d = (a, b, c) if year_first else (c, a, b) if month_first else (c, b, a)
     try:
         day = date(int(y), int(m), int(d)).toordinal() - _DAY0
@@ -167,7 +171,7 @@ _B, _E = r"(?<![\w.@+\-])", r"(?![\w\-]|\.\d)"
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
     "email": (r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}", _email),
     "secret": (r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|gh[pousr]|xox[abprs])[-_][A-Za-z0-9_\-]{16,}|(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?)(?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{8,}", _secret),
-    "iban": (_B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)", _iban),
+    "iban": (_B + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)", _iban),
     "date": (_B + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _E, _date),
     "ip": (_B + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _E, _ip),
     "ssn": (_B + r"\d{3}-\d{2}-\d{4}" + _E, _ssn),
@@ -212,7 +216,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     A column that is itself called pii is replaced.
     """
     docs = docs.drop("pii")
-    schema = docs.schema.add("pii", "array<struct<start:int,end:int,kind:string>>")
+    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
+    schema = StructType([*docs.schema.fields, StructField("pii", ArrayType(span))])
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

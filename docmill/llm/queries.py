@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, packing
-from .common import table
+from . import near_dedup, packing, pii, shards, url_rules
+from .common import Workspace, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,74 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
+SITE_RULES = [
+    url_rules.Rule.site("block", "net/"),
+    url_rules.Rule.site("allow", "example.net/en/"),
+    url_rules.Rule.site("block", "example.com/de/"),
+    url_rules.Rule.site("allow", "org/fr/"),
+]
+#: What no site rule decides is blocked for these words in host or path.
+BLOCKED_WORDS = ["adult", "bets", "casino", "porn", "xxx"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), SITE_RULES + [url_rules.Rule.word("block", w) for w in BLOCKED_WORDS])
+
+
+PII_KEY = "docmill"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the whole text with pseudonyms, and how many spans of each kind were replaced."""
+    out = pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_replaced"), "pii")
+
+
+def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "shards")
+    placed = shards.reshard(docs, old_shards=32, new_shards=40, work=work)
+    files = shards.rewrite(docs, work.save(placed, "plan"), f"{work.root}/files")
+    text = F.coalesce("text", F.lit(""))
+    return files.select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + shards.OVERHEAD).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pack": op2_pack,
+    "op3_url_filter": op3_url_filter,
+    "op7_pii": op7_pii,
+    "op8_reshard": op8_reshard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, instr(url, '://') AS mark, substr(url, instr(url, '://') + 3) AS rest FROM pages
+        ), split AS (
+            SELECT page_id,
+                   CASE WHEN mark > 0 THEN lower(regexp_extract(rest, '^[^/?#]*')) ELSE '' END AS host,
+                   CASE WHEN mark > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM parts
+        ), ruled AS (
+            SELECT page_id, host, path, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+            END AS rule FROM split
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN regexp_matches(host || path, '(^|[^0-9a-z])(adult|bets|casino|porn|xxx)([^0-9a-z]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
+}

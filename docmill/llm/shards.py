@@ -61,3 +61,86 @@ def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int,
         left[path[0]] -= amount
         need[end - n] -= amount
     return {k: v for k, v in flow.items() if v}
+
+
+def transfers(old_sizes: list[int], new_capacities: list[int]) -> dict[tuple[int, int], int]:
+    """Bytes from old shard i to new shard j; what stays in its shard costs nothing, every other byte costs one."""
+    return min_cost_flow(old_sizes, new_capacities, lambda i, j: 0 if i == j else 1)
+
+
+def reshard(
+    docs: DataFrame, old_shards: int, new_shards: int, old_shard: str | None = None, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None
+) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, occurrence, old_shard, shard, slot. Sizes of new shards are near equal.
+
+    old_shard is a SQL expression of a row's present shard; by default shards are by a hash of the id.
+    Rows of a shard are ordered by size class from large to small, then by slice; the first bytes stay and the last
+    ones, which are small rows, move. The driver sees only the sums of (shard, class, slice) blocks, whose number
+    doesn't grow with the rows of a block. A row goes where its middle byte lies in the plan.
+    slot is a row's place in its new shard, from 0 without gaps. occurrence tells equal rows apart.
+
+    Null text: no bytes. Null ids are hashed like a value. Empty table: no rows.
+    """
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "shards")
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    if old_shard is not None:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.expr(old_shard).cast("int").alias("old"))
+    else:
+        rows = rows.withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text).cast("long") + OVERHEAD
+    sized = rows.select("doc_id", "old", size.alias("size"), F.crc32(text).alias("crc"))
+    sized = work.save(
+        sized.withColumns({"class": CLASSES * 2 - F.length(F.bin("size")), "slice": F.pmod(F.xxhash64("doc_id", "crc"), F.lit(SLICES)).cast("int")}), "sized"
+    )
+    blocks = sorted(tuple(r) for r in sized.groupBy("old", "class", "slice").agg(F.sum("size"), F.count(F.lit(1))).collect())
+    sizes = [0] * old_shards
+    base = []
+    for old, kind, part, total, _ in blocks:
+        base.append((old, kind, part, sizes[old]))
+        sizes[old] += total
+    moves = transfers(sizes, capacities(sum(sizes), new_shards))
+    at, ranges = [0] * old_shards, []
+    for i, j in sorted(moves, key=lambda m: (m[0], m[0] != m[1], m[1])):
+        ranges.append((i, at[i], at[i] + moves[i, j], j))
+        at[i] += moves[i, j]
+
+    block = Window.partitionBy("old", "class", "slice").orderBy("doc_id", "crc")
+    before = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.broadcast(spark.createDataFrame(base, "old int, class int, slice int, base long"))
+    placed = sized.join(known, ["old", "class", "slice"]).withColumns(
+        {"mid": F.col("base") + F.sum("size").over(before) - F.col("size") + F.floor(F.col("size") / 2), "n": F.row_number().over(block)}
+    )
+    target = F.broadcast(spark.createDataFrame(ranges, "old int, lo long, hi long, shard int"))
+    placed = placed.join(target, "old").where("mid >= lo AND mid < hi").select("doc_id", "size", "crc", "old", "class", "slice", "n", "shard")
+    placed = work.save(placed, "placed")
+
+    runs = sorted(tuple(r) for r in placed.groupBy("shard", "old", "class", "slice").agg(F.min("n"), F.count(F.lit(1))).collect())
+    filled, starts = [0] * new_shards, []
+    for shard, old, kind, part, first, count in runs:
+        starts.append((shard, old, kind, part, filled[shard] - first))
+        filled[shard] += count
+    shift = F.broadcast(spark.createDataFrame(starts, "shard int, old int, class int, slice int, shift long"))
+    done = placed.join(shift, ["shard", "old", "class", "slice"])
+    same = Window.partitionBy("doc_id", "crc", "size").orderBy("shard", "n")
+    return done.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.row_number().over(same).alias("occurrence"), F.col("old").alias("old_shard"), "shard", (F.col("n") + F.col("shift")).alias("slot"))
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the files of every shard that gains or loses rows, as shard=K folders of (doc_id, text, slot), and reads them.
+
+    Shards with the same rows as before are left out. Rows meet their place by id, size, checksum and occurrence.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumns({"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": F.crc32(text)})
+    same = Window.partitionBy("doc_id", "text_crc32", "size").orderBy("doc_id")
+    rows = rows.withColumn("occurrence", F.row_number().over(same))
+    moved = placed.where("old_shard <> shard")
+    affected = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
+    where = placed.join(F.broadcast(affected), "shard").select("doc_id", "text_crc32", "size", "occurrence", "shard", "slot")
+    match = [rows["doc_id"].eqNullSafe(where["doc_id"]), *(rows[c] == where[c] for c in ("text_crc32", "size", "occurrence"))]
+    out = rows.join(where, match).select(rows["doc_id"], rows["text"], where["slot"], where["shard"])
+    out.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(folder)
+    return spark.read.schema(out.schema).parquet(folder)
