@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pii, shards, url_rules
+from . import chat, near_dedup, packing, pii, quality, shards, url_rules
 from .common import Workspace, table
 
 
@@ -32,6 +32,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), SITE_RULES + [url_rules.Rule.word("block", w) for w in BLOCKED_WORDS])
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 PII_KEY = "docmill"
 
 
@@ -57,15 +61,40 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_conversations(chat.as_events(rows)))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_pack": op2_pack,
     "op3_url_filter": op3_url_filter,
+    "op5_quality": op5_quality,
     "op7_pii": op7_pii,
     "op8_reshard": op8_reshard,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), marked AS (
+            SELECT *, length(text) + len(regexp_extract_all(text,
+                '<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>')) AS escaped
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<|im_start|>') + length(role) + 1 + escaped + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
     "op3_url_filter": r"""
         WITH parts AS (
             SELECT page_id, instr(url, '://') AS mark, substr(url, instr(url, '://') + 3) AS rest FROM pages
