@@ -123,7 +123,7 @@ def reshard(
         filled[shard] += count
     shift = F.broadcast(spark.createDataFrame(starts, "shard int, old int, class int, slice int, shift long"))
     done = placed.join(shift, ["shard", "old", "class", "slice"])
-    same = Window.partitionBy("doc_id", "crc", "size").orderBy("shard", "n")
+    same = Window.partitionBy(F.xxhash64("doc_id", "crc", "size")).orderBy("doc_id", "crc", "size", "shard", "n")
     return done.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.row_number().over(same).alias("occurrence"), F.col("old").alias("old_shard"), "shard", (F.col("n") + F.col("shift")).alias("slot"))
 
 
@@ -135,12 +135,14 @@ def rewrite(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = pick(docs, doc_id=id_col, text=text_col).withColumns({"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": F.crc32(text)})
-    same = Window.partitionBy("doc_id", "text_crc32", "size").orderBy("doc_id")
-    rows = rows.withColumn("occurrence", F.row_number().over(same))
+    key = F.xxhash64("doc_id", "text_crc32", "size")
+    rows = rows.withColumn("key", key)
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "text_crc32", "size")))
     moved = placed.where("old_shard <> shard")
     affected = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    where = placed.join(F.broadcast(affected), "shard").select("doc_id", "text_crc32", "size", "occurrence", "shard", "slot")
-    match = [rows["doc_id"].eqNullSafe(where["doc_id"]), *(rows[c] == where[c] for c in ("text_crc32", "size", "occurrence"))]
-    out = rows.join(where, match).select(rows["doc_id"], rows["text"], where["slot"], where["shard"])
+    where = placed.join(F.broadcast(affected), "shard").select("text_crc32", "size", "occurrence", "shard", "slot", key.alias("key"))
+    # Differences, not equalities: the texts then stay partitioned by key alone, as the window has left them.
+    same = "r.key = p.key AND r.occurrence - p.occurrence = 0 AND r.text_crc32 - p.text_crc32 = 0 AND r.size - p.size = 0"
+    out = rows.alias("r").join(where.alias("p"), F.expr(same)).select("r.doc_id", "r.text", "p.slot", "p.shard")
     out.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder)
