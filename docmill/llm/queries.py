@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, chat, multi_index, near_dedup, packing, pii, quality, shards, url_rules
+from . import bitsliced, chat, multi_index, near_dedup, packing, pieces, pii, quality, shards, url_rules
 from .common import Workspace, table
 
 
@@ -40,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nbest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 PII_KEY = "docmill"
 
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_ann_search": op4_ann_search,
     "op5_quality": op5_quality,
+    "op6_nbest_segment": op6_nbest_segment,
     "op7_pii": op7_pii,
     "op8_reshard": op8_reshard,
     "op9_top_k": op9_top_k,
