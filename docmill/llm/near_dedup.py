@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from .common import STEP, WordHashes, Workspace, mixed, pick, shingle_set
 from .components import connected_components
 
-SAMPLES, BANDS, SKETCH_BITS, WORDS64 = 128, 32, 512, 8
+SAMPLES, BANDS, SKETCH_BITS, SET_BITS = 128, 32, 512, 1024
 ROWS = SAMPLES // BANDS
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(1, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 _SALT = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
-_SIGNATURE = "doc_id long, n long, fp binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS64))
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+PARITY = [f"p{i}" for i in range(SET_BITS // 64)]
+_SIGNATURE = "doc_id long, n long, fp binary, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH + PARITY)
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
@@ -52,14 +54,23 @@ def band_keys(low: np.ndarray) -> np.ndarray:
         return mixed(key).view(np.int64)
 
 
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of the whole set. Bits that differ between two sets number |A xor B| at most, so a large XOR proves distance."""
+    odd = np.bincount((shingles & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def most_flips(similarity: float, misses: float = 5.0) -> int:
-    """The largest XOR population count that a pair of this similarity has, but for chances of `misses` deviations.
+    """The largest XOR population count of sampled sketches that a pair of this similarity has, but for rare chances.
 
-    Of k samples about k(1 - J) differ, each flipping two bits; from d flips on n bits, n/2 (1 - exp(-2d/n)) stay odd.
+    Of k samples about k(1 - J) differ, each flipping two bits; from d flips on n bits, n/2 (1 - exp(-2d/n)) stay odd,
+    and collisions scatter that. The bound lies `misses` standard deviations of both effects above the mean.
     """
-    differ = SAMPLES * (1 - similarity) + misses * math.sqrt(SAMPLES * similarity * (1 - similarity))
-    odd = SKETCH_BITS / 2 * (1 - math.exp(-4 * min(differ, SAMPLES) / SKETCH_BITS))
-    return math.ceil(odd + misses * math.sqrt(SKETCH_BITS) / 4)
+    n, differ = SKETCH_BITS, SAMPLES * (1 - similarity)
+    mean = n / 2 * (1 - math.exp(-4 * differ / n))
+    sampling = 2 * math.exp(-4 * differ / n) * math.sqrt(differ * similarity)
+    collisions = math.sqrt(2) * 2 * differ / math.sqrt(n)
+    return math.ceil(mean + misses * math.hypot(sampling, collisions))
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -70,18 +81,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, len(batch), 2000)):
-                counts, prints, lows = [], [], []
+                counts, prints, lows, parities = [], [], [], []
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), words, hashes)
                     counts.append(len(s))
                     prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                     lows.append(minhashes(s) if len(s) else np.zeros(SAMPLES, np.uint32))
+                    parities.append(set_parity(s))
                 low = np.array(lows, np.uint32).reshape(-1, SAMPLES)
                 keys = pa.array(band_keys(low).ravel())
                 bands = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * BANDS, keys)
-                sketch = odd_sketches(low)
+                sketch = np.hstack([odd_sketches(low), np.array(parities).reshape(-1, len(PARITY))])
                 columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), bands]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(sketch[:, i].copy()) for i in range(WORDS64)], names)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(sketch[:, i].copy()) for i in range(sketch.shape[1])], names)
 
     return docs.mapInArrow(run, _SIGNATURE)
 
@@ -113,9 +125,16 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
 
 def _alike(left: str, right: str, percent: int) -> str:
-    """SQL for: set sizes and odd sketches allow the similarity."""
-    flips = " + ".join(f"bit_count({left}.s{i} ^ {right}.s{i})" for i in range(WORDS64))
-    return f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n) AND {flips} <= {most_flips(percent / 100)}"
+    """SQL for: set sizes and odd sketches allow the similarity.
+
+    J >= t means |A xor B| <= (|A| + |B|) (1 - t) / (1 + t), which the parity of whole sets bounds from below.
+    """
+    flips = lambda names: " + ".join(f"bit_count({left}.{c} ^ {right}.{c})" for c in names)
+    return (
+        f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n)"
+        f" AND {flips(SKETCH)} <= {most_flips(percent / 100)}"
+        f" AND ({flips(PARITY)}) * {100 + percent} <= ({left}.n + {right}.n) * {100 - percent}"
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,12 +144,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     component_id is the smallest doc_id reachable over links, kept tells whether it is the row's own.
 
     1. A row's set gives 128 MinHash samples: 32 bands of 4 propose pairs (a pair at 0.8 is missed with a chance of
-       5e-8), and all samples folded into a 512-bit odd sketch screen them by the population count of an XOR.
+       5e-8), and all samples folded into a 512-bit odd sketch screen them by the population count of an XOR. An odd sketch of
+       the whole set (1024 bits) bounds the difference of two sets from below and so rules out pairs for certain.
     2. Equal sets become one class, so that exact copies are never paired.
     3. In each band bucket every class is tried against the bucket's smallest class only. This unites large groups
        of near copies with linearly many pairs.
     4. Buckets that still hold several components are joined: all classes outside the bucket's largest component
-       against all classes of other components. No link between components is left out, and nothing is capped.
+       against all classes of other components, each pair in the first band that it shares. The screens are part of
+       the join's condition. No link between components is left out, and nothing is capped.
     Each proposed link is confirmed on the full sets of both texts.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows without id: component_id null, kept.
@@ -140,14 +161,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = pick(docs, doc_id=id_col, text=text_col)
     signed = work.save(signatures(docs, words), "signatures")
     filled = signed.where("n > 0 AND doc_id IS NOT NULL")
-    carried = F.struct("n", "bands", *(f"s{i}" for i in range(WORDS64)))
+    carried = F.struct("n", "bands", *SKETCH, *PARITY)
     classes = filled.groupBy("fp").agg(F.min_by(carried, "doc_id").alias("c"), F.min("doc_id").alias("rep"))
     classes = work.save(classes.select("fp", "rep", "c.*"), "classes")
 
-    entries = classes.select("rep", F.explode("bands").alias("band"))
+    entries = classes.select("rep", F.posexplode("bands").alias("pos", "band"))
     buckets = entries.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     live = work.save(entries.join(buckets.select("band", "first"), "band"), "buckets")
-    sketches = classes.drop("fp", "bands")
+    sketches = classes.drop("fp")
     in_buckets = live.select(F.col("rep").alias("doc_id")).distinct()
     texts = work.save(docs.join(in_buckets, "doc_id"), "texts")
 
@@ -156,15 +177,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = work.save(_links(screened.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, percent), "star_links")
     first = work.save(connected_components(links, work, "star"), "star_components")
 
-    placed = live.select("band", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = live.select("band", "pos", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = work.save(placed, "placed")
     counts = placed.groupBy("band", "comp").count()
     mixed_buckets = counts.groupBy("band").agg(F.max(F.struct("count", "comp")).getField("comp").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "top")
     open_rows = work.save(placed.join(mixed_buckets, "band").join(sketches, "rep"), "open")
     outside = open_rows.where("comp <> top")
+    first_shared = "array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = x.pos + 1"
     pairs = outside.alias("x").join(
         open_rows.alias("y"),
-        F.expr(f"x.band = y.band AND x.comp <> y.comp AND (y.comp = y.top OR x.rep < y.rep) AND {_alike('x', 'y', percent)}"),
+        F.expr(f"x.band = y.band AND x.comp <> y.comp AND (y.comp = y.top OR x.rep < y.rep) AND {_alike('x', 'y', percent)} AND {first_shared}"),
     )
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = work.save(_links(pairs, texts, words, percent), "more_links")
