@@ -181,13 +181,21 @@ def _union(ctx, *arrays):
     return Value(F.array_distinct(out.col), out.type)
 
 
+def _shared(y: Column, element: T.DataType):
+    return lambda e: has(y, Value(e, element), element)
+
+
+def _without(found):
+    return lambda e: ~found(e)
+
+
 @named("INTERSECTION", least=2)
 def _intersection(ctx, a, *more):
     """Elements of the first that all others have; repeats of the first stay."""
     out = items(a, "INTERSECTION")
     for b in more:
         x, y, type_ = both(out, items(b, "INTERSECTION"))
-        out = Value(F.filter(x, lambda e, y=y, t=type_: has(y, Value(e, t.elementType), t.elementType)), type_)
+        out = Value(F.filter(x, _shared(y, type_.elementType)), type_)
     return out
 
 
@@ -196,7 +204,8 @@ def _minus(ctx, a, *more):
     out = items(a, "MINUS")
     for b in more:
         x, y, type_ = both(out, items(b, "MINUS"))
-        out = Value(F.filter(x, lambda e, y=y, t=type_: ~has(y, Value(e, t.elementType), t.elementType)), type_)
+        found = _shared(y, type_.elementType)
+        out = Value(F.filter(x, _without(found)), type_)
     return out
 
 

@@ -113,12 +113,16 @@ def _split(ctx, s, sep, limit=None):
     return Value(F.concat(F.array(head), tail), TEXTS)
 
 
+def _texts(a: Value) -> Column:
+    return F.transform(a.col, lambda x: text(Value(x, a.element), ""))
+
+
 def _pieces(args: tuple[Value, ...]) -> list[Column]:
     """Texts of the arguments; arrays give those of their elements, null gives ""."""
     out = []
     for a in args:
         if a.is_array:
-            out.append(F.array_join(F.transform(a.col, lambda x, a=a: text(Value(x, a.element), "")), ""))
+            out.append(F.array_join(_texts(a), ""))
         else:
             out.append(text(a, ""))
     return out
@@ -131,7 +135,7 @@ def _concat(ctx, *args):
 
 @named("CONCAT_WS", "CONCAT_SEPARATOR", least=1)
 def _concat_ws(ctx, sep, *args):
-    parts = [F.transform(a.col, lambda x, a=a: text(Value(x, a.element), "")) if a.is_array else F.array(text(a, "")) for a in args]
+    parts = [_texts(a) if a.is_array else F.array(text(a, "")) for a in args]
     return text_of(F.array_join(F.concat(*parts), known(sep, "CONCAT_WS")) if parts else F.lit(""))
 
 

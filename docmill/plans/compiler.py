@@ -19,6 +19,7 @@ from ..lang import tree as t
 from .aggregates import NAMES, OVER_ARRAYS, aggregate, of_nothing
 
 HIDDEN = "__"
+TABLE_FUNCTIONS = ("FULLTEXT", "HYBRID_SEARCH", "VECTOR_SEARCH", "VECTOR_QUERY", "ANN_SEARCH", "SAMPLE")
 _numbers = itertools.count()
 
 
@@ -186,6 +187,8 @@ class Compiler:
         if self.is_table(c.source, frame):
             side = document(self.catalog.table(c.source.name), c.var)
             return self.crossed(frame, side)
+        if isinstance(c.source, t.Call) and c.source.name in TABLE_FUNCTIONS:
+            return self.crossed(frame, document(self.found(c.source), c.var))
         if isinstance(c.source, t.Binary) and c.source.op == ".." and not frame.started:
             low, high = (self.expr(e, {}) for e in (c.source.left, c.source.right))
             if low.constant and high.constant:
@@ -201,6 +204,48 @@ class Compiler:
         df = frame.df.select("*", F.explode(v.col).alias(name)).withColumn(c.var, F.col(name)).drop(name)
         return replace(frame, df=df, types=frame.types | {c.var: element}, started=True)
 
+    def found(self, c: t.Call) -> DataFrame:
+        """Rows of a search function; its arguments are constants."""
+        from ..operators import search
+
+        values = [self.expr(a, {}) for a in c.args]
+        args = [self.plain(v) for v in values]
+        df = self.catalog.table(str(args[0]))
+        if c.name == "SAMPLE":
+            return df.orderBy(F.rand()).limit(int(args[1]))
+        if c.name == "FULLTEXT":
+            return search.fulltext(df, args[1], args[2], int(args[3]) if len(args) > 3 else 2)
+        if c.name == "HYBRID_SEARCH":
+            vector_field = str(args[1]) if str(args[1]) in df.columns else next(f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType))
+            options = args[5] if len(args) > 5 else {}
+            return search.hybrid_search(df, "_key", vector_field, args[3], str(args[2]), str(args[4]), **{k: v for k, v in options.items() if k in ("vector_weight", "text_weight", "limit", "fusion")})
+        rows = search.vector_search(df, str(args[1]), args[2], int(args[3]) if len(args) > 3 else 10, str(args[4]) if len(args) > 4 else "cosine")
+        return rows.select(F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("doc"), "score")
+
+    def plain(self, v: Value):
+        """The Python value of a constant expression."""
+        if v.constant:
+            return v.literal
+        row = self.spark.range(1).select(v.col.alias("v")).first().v
+        return row.asDict(recursive=True) if hasattr(row, "asDict") else row
+
+    def documents(self, e: t.Call) -> t.Node:
+        """DOCUMENT(id), DOCUMENT([ids]), DOCUMENT(collection, key) and DOCUMENT(collection, [keys]) as subqueries."""
+        if len(e.args) == 2:
+            collection, key = str(self.plain(self.expr(e.args[0], {}))), e.args[1]
+        else:
+            ids = self.plain(self.expr(e.args[0], {}))
+            first = ids[0] if isinstance(ids, (list, tuple)) else ids
+            collection = str(first).partition("/")[0]
+            keys = [str(i).rpartition("/")[2] for i in ids] if isinstance(ids, (list, tuple)) else str(ids).rpartition("/")[2]
+            key = t.Arr(tuple(t.Lit(k) for k in keys)) if isinstance(keys, list) else t.Lit(keys)
+        many = isinstance(key, t.Arr) or (isinstance(key, t.Bind) and isinstance(self.binds.get(key.name), (list, tuple)))
+        name = fresh("doc")
+        of = t.Field(t.Var(name), "_key")
+        test = t.Binary("IN", of, key) if many else t.Binary("==", of, key)
+        sub = t.Sub(t.Query((t.For(name, t.Var(collection)), t.Filter(test)), returns=t.Var(name)))
+        return sub if many else t.Call("FIRST", (sub,))
+
     @staticmethod
     def crossed(frame: Frame, side: Frame, on: Column | None = None) -> Frame:
         if not frame.types and not frame.keys and not frame.started:
@@ -404,6 +449,11 @@ class Compiler:
 
     def hoisted(self, frame: Frame, e: t.Node) -> tuple[Frame, t.Node]:
         """e with its subqueries replaced by variables that the frame now has."""
+        calls = {n.name for n in t.walk(e) if isinstance(n, t.Call)}
+        if "DOCUMENT" in calls:
+            e = t.rewrite(e, lambda n: self.documents(n) if isinstance(n, t.Call) and n.name == "DOCUMENT" else None)
+        if calls & set(TABLE_FUNCTIONS):
+            e = t.rewrite(e, lambda n: t.Sub(t.Query((t.For("__r", n),), returns=t.Var("__r"))) if isinstance(n, t.Call) and n.name in TABLE_FUNCTIONS else None)
         if not any(isinstance(n, t.Sub) for n in t.walk(e)):
             return frame, e
         state = [frame]
@@ -597,7 +647,7 @@ class Compiler:
         if not v.is_array:
             return None
         for c in more:
-            v = Value(F.filter(v.col, lambda x, c=c, v=v: F.coalesce(predicate(self.expr(c.test, frame.scope | {first.var: Value(x, v.element)}, safe=True)), F.lit(False))), v.type)
+            v = self.kept(v, first.var, c.test, frame.scope)
         if query.limit is not None:
             low = 0 if query.offset is None else self.whole(query.offset)
             v = Value(F.slice(v.col, low + 1, self.whole(query.limit)), v.type)
@@ -605,6 +655,11 @@ class Compiler:
         body = lambda x: materialised(self.expr(query.returns, frame.scope | {first.var: Value(x, v.element)})).col
         return Value(F.transform(v.col, body), T.ArrayType(materialised(one).type))
 
+    def kept(self, v: Value, name: str, test: t.Node, scope: dict[str, Value]) -> Value:
+        """The elements of an array for which a condition holds."""
+        holds = lambda x: F.coalesce(predicate(self.expr(test, scope | {name: Value(x, v.element)}, safe=True)), F.lit(False))
+        return Value(F.filter(v.col, holds), v.type)
+
     def semi_join(self, frame: Frame, test: t.Node) -> Frame | None:
         """LENGTH((FOR ..)) > 0, == 0 and x [NOT] IN (FOR ..) as semi and anti joins."""
         if not isinstance(test, t.Binary):
