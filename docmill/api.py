@@ -15,9 +15,12 @@ from .sources.catalog import Catalog
 class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None, flat_joins: bool = False):
         self.spark, self.catalog, self.flat_joins = spark, catalog or Catalog(spark), flat_joins
+        self.streams: dict[str, DataFrame] = {}  # streaming tables by name
+        self.stream_options = None  # streaming.streams.Options
 
-    def query(self, text: str, binds: dict | None = None) -> DataFrame:
-        """A query's rows. Reading queries are lazy; mutations, views and streams take effect at once."""
+    def query(self, text: str, binds: dict | None = None):
+        """A query's rows. Reading queries are lazy; mutations, views and streams take effect at once (a stream's handle
+        is returned)."""
         tree = parse(text)
         compiler = Compiler(self.spark, self.catalog, binds, self.flat_joins)
         if tree.stream:
