@@ -24,13 +24,14 @@ HORIZON, AGAIN = 1 << 19, 16
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions from 0 to total in order, and the penalty of cutting there.
 
-    Document and sentence ends, and inside sentences the places where a window that begins at one of them is full.
+    Document and sentence ends, inside sentences the places where a window that begins at one of them is full, and one
+    chain of full windows from the beginning, so that no text, however poor in ends, needs padding.
     """
     ends = np.unique(np.concatenate(([0], sentence_ends, doc_ends, [total])))
     gaps = np.diff(ends)
     far = ends[:-1][gaps > length]
     chains = [np.arange(b + length, min(b + g, total), length) for b, g in zip(far, gaps[gaps > length], strict=True)]
-    hard = np.setdiff1d(np.concatenate([ends + length, *chains]), ends)
+    hard = np.setdiff1d(np.concatenate([ends + length, np.arange(length, total, length), *chains]), ends)
     hard = hard[hard < total]
     positions = np.concatenate((ends, hard))
     penalty = np.concatenate((np.full(len(ends), SENTENCE_CUT), np.full(len(hard), HARD_CUT)))
