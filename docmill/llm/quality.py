@@ -46,7 +46,7 @@ def terms(text: str | None) -> np.ndarray:
     codes = (c[:-2] * KINDS + c[1:-1]) * KINDS + c[2:]
     counts = np.bincount(codes, minlength=KINDS**3)
     some = np.flatnonzero(counts)
-    out[:HASHED] = np.log1p(np.bincount(BIN[some], counts[some], HASHED) * (1000.0 / len(codes)))
+    out[:HASHED] = np.log1p(np.bincount(BIN[some], counts[some], HASHED) * (1000.0 / max(1, len(codes))))
     words = raw.split()
     if words:
         n = len(words)
