@@ -148,21 +148,25 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_c
     result is exact: bitmaps only rule out rows whose upper bound is below the k-th lower bound.
 
     Null, empty and non-finite vectors take no part. Vectors of another length than a query's are no candidates of it.
-    Repeated ids: each row is a candidate. An empty table gives no rows.
+    Repeated ids: each row is a candidate, and the k best for any of a query id's vectors are its answer. An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "slices")
     rows = work.save(quantised(vectors, scale, id_col, vector_col), "rows")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.repartition(blocks, F.xxhash64("vec_id"))
     asked = rows.where(queries)
     rounds = max(1, -(-asked.count() // QUERY_BATCH))
-    found = None
-    for turn in range(rounds):
-        batch = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds)) == turn)
-        sent = [(r.vec_id, np.array(r.v, np.int64)) for r in batch.distinct().collect()]
-        hits = dealt.mapInArrow(_search(sent, k), HITS)
-        found = hits if found is None else found.unionByName(hits)
+    dealt = rows.repartition(blocks, F.xxhash64("vec_id"))
+    dealt = dealt if rounds == 1 else work.save(dealt, "dealt")
+
+    def hits() -> Iterator[DataFrame]:
+        for turn in range(rounds):
+            batch = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds)) == turn)
+            sent = [(r.vec_id, np.array(r.v, np.int64)) for r in batch.distinct().collect()]
+            yield dealt.mapInArrow(_search(sent, k), HITS)
+
+    found = work.rounds(hits(), rounds, "hits")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -34,6 +35,16 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def rounds(self, makers: Iterator[DataFrame], count: int, name: str) -> DataFrame:
+        """The rows of several DataFrames, made and written one after another; a single one stays lazy."""
+        if count == 1:
+            return next(iter(makers))
+        schema = None
+        for df in makers:
+            schema = df.schema
+            df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names or ("",):

@@ -139,12 +139,14 @@ def search(vectors: DataFrame, queries: str, k: int = 20, share: float = SHARE,
     asked = index.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct()
     walked = work.save(asked.mapInArrow(walk, "query_id long, v array<double>, reach double"), "walked")
     rounds = max(1, -(-walked.count() // QUERY_BATCH))
-    found = None
-    for turn in range(rounds):
-        batch = walked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == turn)
-        sent = [(r.query_id, np.array(r.v), r.reach) for r in batch.collect()]
-        hits = index.mapInArrow(_rerank(books, dims, sent, k), HITS)
-        found = hits if found is None else found.unionByName(hits)
+
+    def hits() -> Iterator[DataFrame]:
+        for turn in range(rounds):
+            batch = walked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == turn)
+            sent = [(r.query_id, np.array(r.v), r.reach) for r in batch.collect()]
+            yield index.mapInArrow(_rerank(books, dims, sent, k), HITS)
+
+    found = work.rounds(hits(), rounds, "hits")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -38,6 +38,7 @@ def by_query(df):
 @pytest.mark.parametrize("n", [300, 5000])
 def test_top_k_is_exact(spark, n, monkeypatch):
     monkeypatch.setattr(bitsliced, "BLOCK_ROWS", 1024)
+    monkeypatch.setattr(bitsliced, "QUERY_BATCH", 40)  # several rounds for the larger table
     x = clustered(n, 16, n)
     x[7] = x[8] = x[9]
     fine = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
@@ -74,7 +75,8 @@ def test_slices_add_up_and_select():
         assert (np.unpackbits(bitsliced.at_least(totals, alive, value).view(np.uint8), bitorder="little")[:200] == (want >= value)).all()
 
 
-def test_multi_index_recall_and_scores(spark):
+def test_multi_index_recall_and_scores(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "QUERY_BATCH", 30)
     x = clustered(4000, 16, 3)
     got = by_query(multi_index.search(table(spark, list(x)), "vec_id % 40 = 0", k=20))
     d, hit = x.astype(np.float64), 0
