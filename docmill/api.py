@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,12 @@ class Engine:
 
         return sql.run(self, text, args)
 
+    def pages(self, df: DataFrame, size: int = 1000) -> Iterator[list[dict]]:
+        """A cursor: the rows in pages, one partition at a time on the driver."""
+        rows = (r.asDict(recursive=True) for r in df.toLocalIterator(prefetchPartitions=True))
+        while page := list(islice(rows, size)):
+            yield page
+
     def explain(self, text: str, binds: dict | None = None) -> str:
         """Clauses in order, and Spark's formatted plan."""
         tree = parse(text)

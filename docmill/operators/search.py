@@ -35,6 +35,14 @@ def vector_search(df: DataFrame, field: str, query: Sequence[float], k: int = 10
     return scored.orderBy(F.desc("score"), *([order] if order else [])).limit(k)
 
 
+def vector_stats(df: DataFrame, field: str) -> DataFrame:
+    """One row about a vector column: how many there are, their lengths and norms."""
+    v = F.col(field).cast("array<double>")
+    size, length = F.size(v), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    made = {"vectors": F.count(v), "missing": F.count_if(v.isNull()), "dimension": F.max(F.when(v.isNotNull(), size)), "mixed": F.min(F.when(v.isNotNull(), size)) != F.max(F.when(v.isNotNull(), size)), "mean_norm": F.avg(length)}
+    return df.agg(*(c.alias(n) for n, c in made.items()))
+
+
 def quantised(df: DataFrame, field: str, dims: int) -> tuple[DataFrame, list[float], list[float]]:
     """df with `codes`, one byte per dimension between that dimension's least and greatest value; and those bounds."""
     at = lambda i: F.get(field, F.lit(i)).cast("double")

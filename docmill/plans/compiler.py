@@ -19,7 +19,7 @@ from ..lang import tree as t
 from .aggregates import NAMES, OVER_ARRAYS, aggregate, of_nothing
 
 HIDDEN = "__"
-TABLE_FUNCTIONS = ("FULLTEXT", "HYBRID_SEARCH", "VECTOR_SEARCH", "VECTOR_QUERY", "ANN_SEARCH", "SAMPLE")
+TABLE_FUNCTIONS = ("FULLTEXT", "HYBRID_SEARCH", "VECTOR_HYBRID_SEARCH", "FUSION_SEARCH", "VECTOR_SEARCH", "VECTOR_QUERY", "ANN_SEARCH", "SAMPLE")
 _numbers = itertools.count()
 
 
@@ -187,7 +187,7 @@ class Compiler:
         if self.is_table(c.source, frame):
             side = document(self.catalog.table(c.source.name), c.var)
             return self.crossed(frame, side)
-        if isinstance(c.source, t.Call) and c.source.name in TABLE_FUNCTIONS:
+        if isinstance(c.source, t.Call) and c.source.name in (*TABLE_FUNCTIONS, "VECTOR_INDEX_STATS"):
             return self.crossed(frame, document(self.found(c.source), c.var))
         if isinstance(c.source, t.Binary) and c.source.op == ".." and not frame.started:
             low, high = (self.expr(e, {}) for e in (c.source.left, c.source.right))
@@ -215,7 +215,9 @@ class Compiler:
             return df.orderBy(F.rand()).limit(int(args[1]))
         if c.name == "FULLTEXT":
             return search.fulltext(df, args[1], args[2], int(args[3]) if len(args) > 3 else 2)
-        if c.name == "HYBRID_SEARCH":
+        if c.name == "VECTOR_INDEX_STATS":
+            return search.vector_stats(df, str(args[1]))
+        if c.name in ("HYBRID_SEARCH", "VECTOR_HYBRID_SEARCH", "FUSION_SEARCH"):
             vector_field = str(args[1]) if str(args[1]) in df.columns else next(f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType))
             options = args[5] if len(args) > 5 else {}
             return search.hybrid_search(df, "_key", vector_field, args[3], str(args[2]), str(args[4]), **{k: v for k, v in options.items() if k in ("vector_weight", "text_weight", "limit", "fusion")})
@@ -452,6 +454,8 @@ class Compiler:
         calls = {n.name for n in t.walk(e) if isinstance(n, t.Call)}
         if "DOCUMENT" in calls:
             e = t.rewrite(e, lambda n: self.documents(n) if isinstance(n, t.Call) and n.name == "DOCUMENT" else None)
+        if "VECTOR_INDEX_STATS" in calls:
+            e = t.rewrite(e, lambda n: t.Call("FIRST", (t.Sub(t.Query((t.For("__s", n),), returns=t.Var("__s"))),)) if isinstance(n, t.Call) and n.name == "VECTOR_INDEX_STATS" else None)
         if calls & set(TABLE_FUNCTIONS):
             e = t.rewrite(e, lambda n: t.Sub(t.Query((t.For("__r", n),), returns=t.Var("__r"))) if isinstance(n, t.Call) and n.name in TABLE_FUNCTIONS else None)
         if not any(isinstance(n, t.Sub) for n in t.walk(e)):

@@ -53,6 +53,11 @@ class Catalog:
         self.loaders[name] = lambda: utc(self.spark.read.format(fmt).options(**options).load(path))
         self.kinds[name] = kind
 
+    def add_shards(self, name: str, paths: list[str], fmt: str = "parquet", kind: str = "document") -> None:
+        """A collection whose shards and replicas lie in several folders: one row per `_key`."""
+        self.loaders[name] = lambda: utc(self.spark.read.format(fmt).load(paths)).dropDuplicates(["_key"])
+        self.kinds[name] = kind
+
     def has(self, name: str) -> bool:
         return name in self.loaders or (self.root is not None and self.version(name) is not None)
 
@@ -90,12 +95,15 @@ class Catalog:
             return None
         return max(self.versions(name), default=None)
 
-    def replace(self, name: str, df: DataFrame, kind: str | None = None) -> DataFrame:
-        """Writes df as the table's next version."""
+    def replace(self, name: str, df: DataFrame, kind: str | None = None, membership: tuple[str, ...] = ()) -> DataFrame:
+        """Writes df as the table's next version; columns in `membership` get Bloom filters in the files."""
         if self.root is None:
             raise QueryError("this catalog has no folder to write to")
         version = (self.version(name) or 0) + 1
-        df.write.mode("overwrite").parquet(self.folder(name, version))
+        writer = df.write.mode("overwrite")
+        for column in membership:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(self.folder(name, version))
         self.loaders.pop(name, None)
         self.kinds[name] = kind or self.kinds.get(name, "document")
         return self.table(name)

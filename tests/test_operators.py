@@ -191,6 +191,17 @@ def test_import_and_export(e, tmp_path):
     assert transfer.blobs(e.spark, f"{tmp_path}/a.json").select("length").first().length == 20
 
 
+def test_pages_shards_and_vector_statistics(e, tmp_path):
+    assert [len(p) for p in e.pages(e.query("FOR i IN 1..25 RETURN {i}"), 10)] == [10, 10, 5]
+    for n in (1, 2):
+        e.catalog.table("users").where(f"age >= {n * 15}").write.parquet(f"{tmp_path}/shard{n}")
+    e.catalog.add_shards("sharded", [f"{tmp_path}/shard1", f"{tmp_path}/shard2"])
+    assert bag(rows(e, "FOR s IN sharded RETURN s._key")) == ["u1", "u3", "u4"]
+    assert rows(e, "LET s = VECTOR_INDEX_STATS('articles', 'embedding') RETURN [s.vectors, s.missing, s.dimension]") == [[3, 1, 3]]
+    e.catalog.replace("b", e.catalog.table("users"), membership=("_key",))
+    assert rows(e, "FOR b IN b FILTER b._key == 'u1' RETURN b.name") == ["Ann"]
+
+
 def test_tables_are_read_while_they_are_replaced(e):
     e.catalog.replace("t", e.spark.range(5).toDF("k"))
     e.catalog.replace("t", e.catalog.table("t").where("k > 2"))
