@@ -53,6 +53,7 @@ class PieceLattice:
             self.text_of[i] = bytes([b])
         self.byte_score = -round((math.log(len(ranked) + 2) + 2) * UNIT)
         self.known: dict[str, tuple[int, int, tuple[int, ...], int]] = {}
+        self.lists: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
     def in_bytes(self, char: str) -> tuple[tuple[int, ...], int] | None:
         """Ids and score of a character that is no piece."""
@@ -138,9 +139,17 @@ class PieceLattice:
                 heapq.heappush(heap, (-(g + s + best[i]), i, count, g + s, (ids, tail)))
         return out
 
+    def listed(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """n_best of a word with its space mark; near ties repeat, so the last ones are remembered."""
+        if (found := self.lists.get((word, n))) is None:
+            if len(self.lists) >= REMEMBERED // 10:
+                self.lists.clear()
+            found = self.lists[word, n] = self.n_best(SPACE + word, n)
+        return found
+
     def words(self, text: str) -> list[str]:
-        head, *rest = text.replace(SPACE, " ").split(" ")
-        return [SPACE + head, *(SPACE + w for w in rest)] if text else []
+        """The words without their space marks: encoding puts one before the text, and every space is another."""
+        return text.replace(SPACE, " ").split(" ") if text else []
 
     def encode(self, text: str, n: int) -> list[tuple[int, np.ndarray, list[bytes]]]:
         """(score, ids, decoded slices) of the n best segmentations of the whole text, best first.
@@ -149,15 +158,17 @@ class PieceLattice:
         best and second best (of equals, the first), so only those words are searched by A-star.
         """
         words, known = self.words(text), self.known
-        found = []
-        for w in words:
-            if (f := known.get(w)) is None:
-                f = self.viterbi(w)
-                if len(known) < REMEMBERED:
-                    known[w] = f
-            found.append(f)
-        if not found:
+        if not words:
             return [(0, np.empty(0, np.uint32), [])]
+        found = list(map(known.get, words))
+        for k, f in enumerate(found):
+            if f is None:
+                w = words[k]
+                if (f := known.get(w)) is None:
+                    f = self.viterbi(SPACE + w)
+                    if len(known) < REMEMBERED:
+                        known[w] = f
+                found[k] = f
         scores, gaps, parts, bytes_of = zip(*found, strict=True)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
@@ -165,7 +176,7 @@ class PieceLattice:
         gap = np.array(gaps)
         near = np.argsort(gap, kind="stable")[: n - 1] if len(gap) <= 4 * n else self._smallest(gap, n - 1)
         chosen = sorted(int(k) for k in near if gap[k] < -NONE)
-        lists = [self.n_best(words[k], n) for k in chosen]
+        lists = [self.listed(words[k], n) for k in chosen]
         total = sum(scores)
         base = total - sum(x[0][0] for x in lists)
         picks = self._combine(lists, n)
