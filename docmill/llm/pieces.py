@@ -19,7 +19,7 @@ SPACE, NONE = "▁", -(1 << 60)
 #: Scores are whole millionths, so that sums are exact and ties are ties.
 UNIT = 1_000_000
 #: Words whose segmentation a worker remembers; the first ones seen are the frequent ones, so they are kept.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, decoded_crc32 long"
 
 
@@ -142,7 +142,7 @@ class PieceLattice:
     def listed(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """n_best of a word with its space mark; near ties repeat, so the last ones are remembered."""
         if (found := self.lists.get((word, n))) is None:
-            if len(self.lists) >= REMEMBERED // 10:
+            if len(self.lists) >= REMEMBERED // 20:
                 self.lists.clear()
             found = self.lists[word, n] = self.n_best(SPACE + word, n)
         return found
