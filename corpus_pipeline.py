@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        work.keep(name)
     return STAGES[-1][1](spark, docs, sf_dir)

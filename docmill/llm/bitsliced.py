@@ -133,7 +133,10 @@ class Block:
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and floor(scale * x) of every component; null ids, null vectors and null or non-finite components go."""
+    """vec_id and floor(scale * x) of every component; null ids, null vectors and null or non-finite components go.
+
+    So do vectors with a component of 2**40 or more, as scores are 64-bit integers and must not overflow.
+    """
     slim = pick(vectors, vec_id=id_col, v=vector_col).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**40)))
     return slim.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))

@@ -45,11 +45,13 @@ class Workspace:
             df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, once no DataFrame still to be computed reads the others."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

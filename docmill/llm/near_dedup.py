@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = work.save(_links(pairs, texts, words, percent), "more_links")
     final = work.save(connected_components(links.unionByName(more), work, "all"), "components")
+    work.keep("signatures", "classes", "components")
 
     members = signed.join(classes.select("fp", "rep"), "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     out = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")

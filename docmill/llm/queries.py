@@ -57,6 +57,7 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "shards")
     placed = shards.reshard(docs, old_shards=32, new_shards=40, work=work)
     files = shards.rewrite(docs, work.save(placed, "plan"), f"{work.root}/files")
+    work.keep("files")
     text = F.coalesce("text", F.lit(""))
     return files.select(
         "doc_id",
