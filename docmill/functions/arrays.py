@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .registry import Function, named
 from .strings import known
-from .values import BOOL, LONG, TEXT, QueryError, Value, array, common, conform, constant, equal, truthy
+from .values import BOOL, LONG, TEXT, QueryError, Value, array, common, common_of, conform, constant, equal, storable, truthy
 
 
 def items(v: Value, name: str) -> Value:
@@ -21,7 +21,7 @@ def items(v: Value, name: str) -> Value:
 
 def both(a: Value, b: Value) -> tuple[Column, Column, T.DataType]:
     """Two arrays with one type."""
-    type_ = common([a.type, b.type])
+    type_ = storable(common_of(a, b))
     return conform(a, type_), conform(b, type_), type_
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .registry import named
 from .strings import known, string, text_of
-from .values import BOOL, DOUBLE, TEXT, QueryError, Value, array, common, conform, constant, either, equal, text, truthy
+from .values import BOOL, DOUBLE, TEXT, QueryError, Value, array, common_of, conform, constant, either, equal, storable, text, truthy
 
 
 def _check(names: tuple[str, ...], test) -> None:
@@ -83,7 +83,7 @@ def _to_array(ctx, v):
 
 @named("COALESCE", "NOT_NULL", "FIRST_NOT_NULL", least=1)
 def _coalesce(ctx, *args):
-    type_ = common([a.type for a in args])
+    type_ = storable(common_of(*args))
     return Value(F.coalesce(*(conform(a, type_) for a in args)), type_)
 
 

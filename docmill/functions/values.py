@@ -120,8 +120,26 @@ def common(types: list[T.DataType]) -> T.DataType:
     return TEXT
 
 
+def storable(type_: T.DataType) -> T.DataType:
+    """Arrays of nothing known are arrays of strings."""
+    return T.ArrayType(TEXT) if isinstance(type_, T.ArrayType) and isinstance(type_.elementType, T.NullType) else type_
+
+
+def is_blank(v: Value) -> bool:
+    """A constant array without a value that would give it a type."""
+    return v.constant and isinstance(v.literal, list) and all(x is None for x in v.literal)
+
+
+def common_of(*values: Value) -> T.DataType:
+    """The type that all values can take; arrays without values take any."""
+    return common([T.ArrayType(NULL) if is_blank(v) else v.type for v in values])
+
+
 def conform(v: Value, type_: T.DataType) -> Column:
     """v as a value of a type that common() found."""
+    if is_blank(v) and isinstance(type_, T.ArrayType):
+        element = TEXT if isinstance(type_.elementType, T.NullType) else type_.elementType
+        return F.array(*(F.lit(None).cast(element) for _ in v.literal)).cast(T.ArrayType(element))
     if v.type == type_ or isinstance(type_, T.NullType):
         return v.col
     if isinstance(type_, T.StringType):
@@ -135,16 +153,17 @@ def conform(v: Value, type_: T.DataType) -> Column:
 
 
 def array(items: list[Value]) -> Value:
-    type_ = common([v.type for v in items])
+    type_ = common_of(*items)
     whole = all(v.constant for v in items)
     values = [v.literal for v in items] if whole else None
+    type_ = storable(type_)
     if not items or isinstance(type_, T.NullType):
         return Value(F.array(*(F.lit(None).cast("string") for _ in items)).cast("array<string>"), T.ArrayType(TEXT), values, whole)
     return Value(F.array(*(conform(v, type_) for v in items)), T.ArrayType(type_), values, whole)
 
 
 def either(test: Column, a: Value, b: Value) -> Value:
-    type_ = common([a.type, b.type])
+    type_ = storable(common_of(a, b))
     return Value(F.when(test, conform(a, type_)).otherwise(conform(b, type_)), type_)
 
 
@@ -210,7 +229,8 @@ def aligned(a: Value, b: Value) -> tuple[Column, Column] | None:
             return conform(a, type_), conform(b, type_)
         return a.col, b.col
     if "time" in (ka, kb):
-        return as_time(a), as_time(b)
+        zoneless = next((v.type for v in (a, b) if isinstance(v.type, T.TimestampNTZType)), None)
+        return tuple(v.col if v.type == zoneless else as_time(v).cast(zoneless or TIME) for v in (a, b))
     return None
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ..functions import arrays, registry
 from ..functions.registry import Context, Function
 from ..functions.values import (
-    BOOL, DOUBLE, LONG, TEXT, QueryError, Value, arithmetic, array, as_time, bitwise, common, compare, conform, constant,
-    either, equal, field_of, materialised, predicate, struct, text, truthy,
+    BOOL, DOUBLE, LONG, TEXT, QueryError, Value, arithmetic, array, as_time, bitwise, common, common_of, compare, conform, constant,
+    either, equal, field_of, materialised, predicate, storable, struct, text, truthy,
 )
 from ..lang import tree as t
 from .aggregates import NAMES, OVER_ARRAYS, aggregate, of_nothing
@@ -838,7 +838,7 @@ class Compiler:
         subject = None if e.subject is None else go(e.subject)
         branches = [(truthy(go(a)) if subject is None else equal(subject, go(a)), go(b)) for a, b in e.whens]
         other = constant(None) if e.other is None else go(e.other)
-        type_ = common([b.type for _, b in branches] + [other.type])
+        type_ = storable(common_of(*(b for _, b in branches), other))
         out = None
         for test, b in branches:
             out = (F if out is None else out).when(test, conform(b, type_))
@@ -884,7 +884,7 @@ class Compiler:
         if op == "~=":
             return Value(F.coalesce(F.levenshtein(text(a, ""), text(b, "")) <= 2, F.lit(False)), BOOL)
         if op == "??":
-            type_ = common([a.type, b.type])
+            type_ = storable(common_of(a, b))
             return Value(F.coalesce(conform(a, type_), conform(b, type_)), type_)
         if op == "||":
             return either(truthy(a), a, b)

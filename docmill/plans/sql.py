@@ -107,3 +107,10 @@ def delete(engine, text: str, args: dict) -> DataFrame:
     done = engine.catalog.replace("__pending", marked(engine, m[1], condition, args, []))
     engine.catalog.replace(m[1], done.where("NOT __hit").drop("__hit"))
     return done.where("__hit").drop("__hit")
+
+
+def translated(text: str) -> str:
+    """A SELECT as text of the query language, whose rules of null it then follows."""
+    from .translate import translate
+
+    return translate(text)

@@ -13,13 +13,9 @@ from ..functions.values import QueryError
 
 
 def utc(df: DataFrame) -> DataFrame:
-    """Zoneless timestamps as UTC timestamps, decimals as doubles, narrow integers as they are."""
-    casts = {}
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.TimestampNTZType, T.DateType)):
-            casts[f.name] = F.col(f"`{f.name}`").cast("timestamp")
-        elif isinstance(f.dataType, T.DecimalType):
-            casts[f.name] = F.col(f"`{f.name}`").cast("double")
+    """Dates as timestamps and decimals as doubles. Zoneless timestamps count as UTC; they stay, so that conditions reach the scan."""
+    to = {T.DateType: "timestamp", T.DecimalType: "double"}
+    casts = {f.name: F.col(f"`{f.name}`").cast(to[type(f.dataType)]) for f in df.schema.fields if type(f.dataType) in to}
     return df.withColumns(casts) if casts else df
 
 

@@ -25,6 +25,8 @@ CASES = [
     ("LET k = 'x' LET o = {x: 5} RETURN o[k]", [5]),
     ('LET n = null RETURN $"a ${1.0} ${n} ${[1, 2]} b"', ["a 1 null [1,2] b"]),
     ("RETURN 0 ? 'y' : 'n'", ["n"]),
+    ("FOR n IN nested RETURN n.tags ?? []", [["a", "b"], [], []]),
+    ("LET a = [1] RETURN [1 ? a : [], 0 ? a : [null], UNION([], a)]", [[[1], [None], [1]]]),
     ("RETURN CASE null WHEN null THEN 1 ELSE 2 END", [1]),
     ("RETURN [1, 2, 3] |> MAP(x -> x * 2) |> FILTER(x -> x > 2) |> REDUCE((a, x) -> a + x, 0)", [10.0]),
     ("RETURN 1..4", [[1, 2, 3, 4]]),
