@@ -17,8 +17,8 @@ from .common import Workspace, pick
 SAMPLE, WORDS, ROUNDS = 20_000, 128, 12
 #: A query reads cells until they hold this share of all rows, and so many rows at least.
 SHARE, LEAST = 0.5, 1_000
-#: Queries that travel at a time.
-QUERY_BATCH = 8_192
+#: Queries that travel at a time, and rows of a file of the index, each of which is searched by a task.
+QUERY_BATCH, FILE_ROWS = 8_192, 8_192
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -125,7 +125,8 @@ def search(vectors: DataFrame, queries: str, k: int = 20, share: float = SHARE,
             cells = books.cells(_matrix(batch.column("v"), dims)) if len(batch) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cells, pa.int32())], ["vec_id", "v", "cell"])
 
-    index = work.save(rows.where(F.size("v") == dims).mapInArrow(place, "vec_id long, v array<double>, cell int"), "index")
+    dealt = rows.where(F.size("v") == dims).repartition(max(1, -(-rows.count() // FILE_ROWS)), F.xxhash64("vec_id"))
+    index = work.save(dealt.mapInArrow(place, "vec_id long, v array<double>, cell int"), "index")
     counts = np.zeros(len(books.left) * len(books.right), np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r.cell] = r["count"]

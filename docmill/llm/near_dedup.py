@@ -60,8 +60,9 @@ def set_parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def most_flips(similarity: float, misses: float = 5.0) -> int:
-    """The largest XOR population count of sampled sketches that a pair of this similarity has, but for rare chances.
+def most_flips(similarity: float, misses: float = 6.5) -> int:
+    """The largest XOR population count of sampled sketches that a pair of this similarity has, but for rare chances (the
+    hash functions are linear, which makes the tail for small sets a little heavier than that of independent ones).
 
     Of k samples about k(1 - J) differ, each flipping two bits; from d flips on n bits, n/2 (1 - exp(-2d/n)) stay odd,
     and collisions scatter that. The bound lies `misses` standard deviations of both effects above the mean.
