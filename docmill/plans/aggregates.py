@@ -14,9 +14,10 @@ NAMES = {
     "COLLECT_LIST": "LIST", "COLLECT": "LIST", "MEDIAN": "MEDIAN", "VARIANCE": "VARIANCE", "VAR_POP": "VARIANCE", "VAR_SAMP": "VARIANCE",
     "STDDEV": "STDDEV", "STDDEV_POP": "STDDEV", "STDDEV_SAMP": "STDDEV", "APPROX_COUNT_DISTINCT": "APPROX",
 }
-#: Functions of an array that can be computed as aggregates of its elements, without the array.
+#: Functions of an array that can be computed as aggregates of its elements, without the array. MIN and MAX of an array
+#: look at numbers only and give doubles.
 OVER_ARRAYS = {
-    "SUM": "SUM", "AVG": "AVG", "AVERAGE": "AVG", "MIN": "MIN", "MAX": "MAX", "MEDIAN": "MEDIAN", "VARIANCE": "VARIANCE", "VAR_POP": "VARIANCE",
+    "SUM": "SUM", "AVG": "AVG", "AVERAGE": "AVG", "MIN": "LEAST", "MAX": "GREATEST", "MEDIAN": "MEDIAN", "VARIANCE": "VARIANCE", "VAR_POP": "VARIANCE",
     "STDDEV": "STDDEV", "STDDEV_POP": "STDDEV", "COUNT_DISTINCT": "DISTINCT", "LENGTH": "ROWS", "COUNT": "ROWS",
 }
 
@@ -42,8 +43,8 @@ def aggregate(kind: str, v: Value | None) -> Value:
     made: dict[str, Column] = {
         "SUM": F.coalesce(F.sum(x), F.lit(0.0)),
         "AVG": F.avg(x),
-        "MIN": F.min(x),
-        "MAX": F.max(x),
+        **dict.fromkeys(("MIN", "LEAST"), F.min(x)),
+        **dict.fromkeys(("MAX", "GREATEST"), F.max(x)),
         "MEDIAN": F.median(x),
         "VARIANCE": F.when(F.count(x) >= 2, F.var_pop(x)),
         "STDDEV": F.when(F.count(x) >= 2, F.stddev_pop(x)),
