@@ -29,12 +29,17 @@ def fresh(what: str) -> str:
 
 @dataclass(frozen=True)
 class Frame:
-    """A DataFrame with a column per variable. `keys` are hidden columns that groupings must keep apart."""
+    """A DataFrame with a column per variable.
+
+    `keys` are hidden columns that groupings must keep apart. `known` has hidden columns by the expression and type that
+    they hold: joins and windows over the same expression then share its column, and with it Spark's partitioning.
+    """
 
     df: DataFrame
     types: dict[str, T.DataType] = field(default_factory=dict)
     keys: tuple[str, ...] = ()
     started: bool = False
+    known: dict[tuple, tuple[str, ...]] = field(default_factory=dict)
 
     def value(self, name: str) -> Value:
         return Value(F.col(f"`{name}`"), self.types[name])
@@ -50,6 +55,13 @@ class Frame:
     def where(self, c: Column) -> Frame:
         return replace(self, df=self.df.where(c))
 
+    def holding(self, wanted: dict[tuple, list[Column]]) -> tuple[Frame, dict[tuple, tuple[str, ...]]]:
+        """The frame with hidden columns for what is wanted, and their names."""
+        there = set(self.df.columns)
+        names = {k: self.known[k] if k in self.known and set(self.known[k]) <= there else tuple(fresh("h") for _ in cols) for k, cols in wanted.items()}
+        new = {n: c for k, cols in wanted.items() for n, c in zip(names[k], cols, strict=True) if n not in there}
+        return replace(self, df=self.df.withColumns(new) if new else self.df, known=self.known | names), names
+
 
 def document(df: DataFrame, name: str) -> Frame:
     """A table as one struct column."""
@@ -253,7 +265,7 @@ class Compiler:
         if not frame.types and not frame.keys and not frame.started:
             return side if on is None else side.where(on)
         df = frame.df.crossJoin(side.df) if on is None else frame.df.join(side.df, on)
-        return Frame(df, frame.types | side.types, frame.keys, True)
+        return Frame(df, frame.types | side.types, frame.keys, True, frame.known)
 
     def joined_for(self, frame: Frame, c: t.For, test: t.Node) -> Frame:
         """Nested FOR and its FILTER as a join: Catalyst sees the equalities as keys."""
@@ -384,43 +396,60 @@ class Compiler:
             right = right.where(predicate(self.expr(o, right.scope, safe=True, filtering=True)))
         made: list[t.Aggregate] = []
         changed = None if c.kind == "FULL" else self.aggregated_uses(name, rest, made, lambda path: _path(t.Var(name), path))
-        key_names = [fresh("k") for _ in pairs]
         sides = [(self.expr(a, frame.scope), self.expr(b, right.scope)) for a, b in pairs]
-        keyed = right.df.select(*(_matched(a, b)[1].alias(k) for (a, b), k in zip(sides, key_names, strict=True)), name)
+        frame, keys = self.join_keys(frame, [a for a, _ in pairs], sides)
         if changed is not None:
             kinds = {a.var: (a.func, aggregate(a.func, None if a.arg is None else self.expr(a.arg, right.scope))) for a in made}
         else:
             kinds = {name: ("LIST", aggregate("LIST", right.value(name)))}
-        grouped = keyed.groupBy(*key_names).agg(*(v.col.alias(n) for n, (_, v) in kinds.items()))
-        on = [_matched(a, b)[0].eqNullSafe(grouped[k]) for (a, b), k in zip(sides, key_names, strict=True)]
+        keyed = right.df.select(*(k.made.alias(k.right) for k in keys), name)
+        grouped = keyed.groupBy(*(k.right for k in keys)).agg(*(v.col.alias(n) for n, (_, v) in kinds.items()))
         if c.kind == "FULL":
-            return self.full_join(frame, right, sides, grouped, key_names, name, kinds[name][1].type), rest
-        df = frame.df.join(grouped, on, "inner" if c.kind == "INNER" else "left").drop(*key_names)
+            return self.full_join(frame, keyed, grouped, keys, name, kinds[name][1].type), rest
+        df = frame.df.join(grouped, [k.on for k in keys], "inner" if c.kind == "INNER" else "left").drop(*(k.right for k in keys))
         fills = {n: F.coalesce(F.col(n), empty) for n, (kind, v) in kinds.items() if (empty := of_nothing(kind, v.type)) is not None and c.kind == "LEFT"}
         df = df.withColumns(fills) if fills else df
         types = frame.types | {n: v.type for n, (_, v) in kinds.items()}
-        return Frame(df, types, frame.keys, True), changed if changed is not None else rest
-
-    def full_join(self, frame, right, sides, grouped, key_names, name, type_) -> Frame:
-        on = [_matched(a, b)[0].eqNullSafe(grouped[k]) for (a, b), k in zip(sides, key_names, strict=True)]
-        lefts = frame.df.join(grouped, on, "left").drop(*key_names)
-        lefts = lefts.withColumn(name, F.coalesce(name, F.array().cast(type_)))
-        seen = frame.df.select(*(_matched(a, b)[0].alias(k) for (a, b), k in zip(sides, key_names, strict=True))).distinct()
-        alone = right.df.join(seen, [_matched(a, b)[1].eqNullSafe(seen[k]) for (a, b), k in zip(sides, key_names, strict=True)], "left_anti")
+        return Frame(df, types, frame.keys, True, frame.known), changed if changed is not None else rest
+
+    def join_keys(self, frame: Frame, nodes: list[t.Node], sides: list[tuple[Value, Value]]) -> tuple[Frame, list[_Key]]:
+        """Hidden key columns of the left side, and how the right side's are made.
+
+        null == null holds. Instead of a null-safe comparison a key is two plain columns, its value with a filler and
+        whether it is null: grouping by them and joining on them then need one shuffle, not two.
+        """
+        wanted: dict[tuple, list[Column]] = {}
+        rights: list[tuple[tuple, list[Column], bool]] = []
+        for node, (a, b) in zip(nodes, sides, strict=True):
+            type_ = _meeting(a, b)
+            left, right = _matched(a, b)
+            filler = _filler(type_)
+            key = (node, type_.simpleString())
+            wanted[key] = _parts(left, filler)
+            rights.append((key, _parts(right, filler), filler is None))
+        frame, names = frame.holding(wanted)
+        return frame, [_Key(n, fresh("k"), c, safe) for key, cols, safe in rights for n, c in zip(names[key], cols, strict=True)]
+
+    def full_join(self, frame: Frame, keyed: DataFrame, grouped: DataFrame, keys: list[_Key], name: str, type_: T.DataType) -> Frame:
+        on = [k.on for k in keys]
+        lefts = frame.df.join(grouped, on, "left").withColumn(name, F.coalesce(name, F.array().cast(type_)))
+        seen = frame.df.select(*dict.fromkeys(k.left for k in keys)).distinct()
+        alone = keyed.join(seen, on, "left_anti")
         others = alone.select(*(F.lit(None).cast(x).alias(n) for n, x in frame.types.items()), F.array(F.col(name)).alias(name))
         return Frame(lefts.select(*others.columns).unionByName(others), frame.types | {name: type_}, frame.keys, True)
 
     def right_join(self, frame: Frame, c: t.Join, right: Frame, pairs, others) -> Frame:
         """A row per right document, with the variables of the first matching left row or nulls."""
         name, order, number = c.collection, fresh("row"), fresh("doc")
-        lefts = frame.df.withColumn(order, F.monotonically_increasing_id())
         row = F.struct(*(F.col(n) for n in frame.types))
         if pairs and not others:
             sides = [(self.expr(a, frame.scope), self.expr(b, right.scope)) for a, b in pairs]
-            keys = [fresh("k") for _ in pairs]
-            firsts = lefts.groupBy(*(_matched(a, b)[0].alias(k) for (a, b), k in zip(sides, keys, strict=True))).agg(F.min_by(row, order).alias("__left"))
-            df = right.df.join(firsts, [_matched(a, b)[1].eqNullSafe(firsts[k]) for (a, b), k in zip(sides, keys, strict=True)], "left")
+            frame, keys = self.join_keys(frame, [a for a, _ in pairs], sides)
+            lefts = frame.df.withColumn(order, F.monotonically_increasing_id())
+            firsts = lefts.groupBy(*dict.fromkeys(k.left for k in keys)).agg(F.min_by(row, order).alias("__left"))
+            df = right.df.select(*(k.made.alias(k.right) for k in keys), name).join(firsts, [k.on for k in keys], "left")
         else:
+            lefts = frame.df.withColumn(order, F.monotonically_increasing_id())
             numbered = right.df.withColumn(number, F.monotonically_increasing_id())
             on = predicate(self.expr(c.on, frame.scope | right.scope, safe=True, filtering=True))
             df = numbered.join(lefts, on, "left").groupBy(number).agg(F.first(name).alias(name), F.min_by(F.when(F.col(order).isNotNull(), row), order).alias("__left"))
@@ -545,10 +574,14 @@ class Compiler:
         if t.free_names(returns) & (set(frame.types) - set(inner.types)):
             return self.attach_theta(frame, query, wrapper, name)
         sides = [(self.expr(a, frame.scope), inner.value(k)) for (a, _), k in zip(pairs, keys, strict=True)]
-        inner, value = self.numbered(inner, core, returns, keys)
+        frame, joined = self.join_keys(frame, [a for a, _ in pairs], sides)
+        parted = inner.df.withColumns({k.right: k.made for k in joined})
+        inner = replace(inner, df=parted, types=inner.types | {k.right: parted.schema[k.right].dataType for k in joined})
+        by = [k.right for k in joined]
+        inner, value = self.numbered(inner, core, returns, by)
         made = self.gathered(inner, value, wrapper)
-        grouped = inner.df.groupBy(*(_matched(a, b)[1].alias(k) for (a, b), k in zip(sides, keys, strict=True))).agg(made.col.alias(name))
-        df = frame.df.join(grouped, [_matched(a, b)[0].eqNullSafe(grouped[k]) for (a, b), k in zip(sides, keys, strict=True)], "left").drop(*keys)
+        grouped = inner.df.groupBy(*by).agg(made.col.alias(name))
+        df = frame.df.join(grouped, [k.on for k in joined], "left").drop(*(k.right for k in joined))
         empty = of_nothing("LIST" if wrapper is None else OVER_ARRAYS.get(wrapper, "FIRST"), made.type)
         if empty is not None:
             df = df.withColumn(name, F.coalesce(name, empty))
@@ -693,22 +726,23 @@ class Compiler:
     # -- windows
 
     def with_windows(self, frame: Frame, e: t.Node, sort: list[Column]) -> tuple[Frame, t.Node]:
-        """e with its OVER calls replaced by variables."""
-        state = [frame]
-
-        def change(n: t.Node) -> t.Node | None:
-            if not isinstance(n, t.Over):
-                return None
-            name = fresh("win")
-            state[0] = state[0].having(**{name: self.window(state[0], n, sort)})
-            return t.Var(name)
+        """e with its OVER calls replaced by variables.
 
-        changed = t.rewrite(e, change)
-        return state[0], changed
-
-    def window(self, frame: Frame, o: t.Over, sort: list[Column]) -> Value:
+        Partition expressions become hidden columns and all windows one projection, so that windows over the same
+        partition share a shuffle, and those of the same order a sort.
+        """
+        calls = list(dict.fromkeys(n for n in t.walk(e) if isinstance(n, t.Over)))
+        if not calls:
+            return frame, e
+        values = {p: self.expr(p, frame.scope) for o in calls for p in o.partition}
+        frame, columns = frame.holding({(p, v.type.simpleString()): [v.col] for p, v in values.items()})
+        by = {p: F.col(columns[p, v.type.simpleString()][0]) for p, v in values.items()}
+        names = {o: fresh("win") for o in calls}
+        frame = frame.having(**{names[o]: self.window(frame, o, sort, [by[p] for p in o.partition]) for o in calls})
+        return frame, t.rewrite(e, lambda n: t.Var(names[n]) if isinstance(n, t.Over) else None)
+
+    def window(self, frame: Frame, o: t.Over, sort: list[Column], by: list[Column]) -> Value:
         scope, f = frame.scope, o.call.name
-        by = [self.expr(p, scope).col for p in o.partition]
         order = [(v.asc_nulls_first() if up else v.desc_nulls_last()) for v, up in ((self.expr(e, scope).col, up) for e, up in o.order)]
         base = Window.partitionBy(*by)
         rows = base.orderBy(*(order or sort or [F.monotonically_increasing_id()]))
@@ -930,6 +964,20 @@ class Compiler:
         return Value(hit if op == "=~" else ~hit, BOOL)
 
 
+@dataclass(frozen=True)
+class _Key:
+    """A join key: the left column's name, the right one's and what it is made of."""
+
+    left: str
+    right: str
+    made: Column
+    safe: bool
+
+    @property
+    def on(self) -> Column:
+        return F.col(self.left).eqNullSafe(F.col(self.right)) if self.safe else F.col(self.left) == F.col(self.right)
+
+
 @dataclass(frozen=True)
 class _Keys(t.Node):
     names: tuple[str, ...]
@@ -941,9 +989,27 @@ def _path(base: t.Node, path) -> t.Node:
     return base
 
 
+def _meeting(a: Value, b: Value) -> T.DataType:
+    """The type in which both sides of an equality are compared."""
+    return T.TimestampType() if a.is_time or b.is_time else common_of(a, b)
+
+
 def _matched(a: Value, b: Value) -> tuple[Column, Column]:
     """Both sides of an equality in one type."""
-    if a.is_time or b.is_time:
-        return as_time(a), as_time(b)
-    type_ = common([a.type, b.type])
-    return conform(a, type_), conform(b, type_)
+    type_ = _meeting(a, b)
+    return (as_time(a), as_time(b)) if isinstance(type_, T.TimestampType) else (conform(a, type_), conform(b, type_))
+
+
+def _parts(c: Column, filler: Column | None) -> list[Column]:
+    return [c] if filler is None else [F.coalesce(c, filler), c.isNull()]
+
+
+def _filler(type_: T.DataType) -> Column | None:
+    """A value to stand for null beside a null flag; none for nested types."""
+    if isinstance(type_, T.StringType):
+        return F.lit("")
+    if isinstance(type_, T.NumericType):
+        return F.lit(0).cast(type_)
+    if isinstance(type_, T.BooleanType):
+        return F.lit(False)
+    return F.timestamp_seconds(F.lit(0)) if isinstance(type_, T.TimestampType) else None

@@ -156,3 +156,26 @@ def test_conditions_reach_the_scan(spark, tmp_path):
     e.catalog.add_path("s", f"{tmp_path}/t")
     joined = e.explain("FOR x IN t FOR y IN s FILTER x.k == y.k RETURN y.g")
     assert "Join" in joined and "NestedLoop" not in joined and "Cartesian" not in joined
+
+
+@pytest.mark.parametrize(
+    ("text", "shuffles"),
+    [
+        ("FOR u IN users JOIN orders ON orders.user_key == u._key RETURN {k: u._key, t: SUM(orders[*].total)}", 2),
+        ("FOR u IN users LET a = SUM((FOR o IN orders FILTER o.user_key == u._key RETURN o.total)) LET b = LENGTH((FOR o IN orders FILTER o.user_key == u._key AND o.total > 5 RETURN 1)) RETURN {a, b}", 3),
+        ("FOR u IN users LET t = (FOR o IN orders FILTER o.user_key == u._key SORT o.total LIMIT 2 RETURN o._key) RETURN {k: u._key, t}", 2),
+        ("FOR s IN sales RETURN {a: SUM(s.amount) OVER (PARTITION BY s.region ORDER BY s.day), b: LAG(s.amount) OVER (PARTITION BY s.region ORDER BY s.day), c: RANK() OVER (PARTITION BY s.region ORDER BY s.amount)}", 1),
+        ("FOR s IN sales COLLECT r = s.region INTO g RETURN {r, t: SUM(g[*].s.amount)}", 1),
+    ],
+)
+def test_shuffles_are_shared(e, text, shuffles):
+    conf = e.spark.conf
+    before = {k: conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        conf.set("spark.sql.adaptive.enabled", "false")
+        plan = e.query(text)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == shuffles and "Cartesian" not in plan and "NestedLoop" not in plan
