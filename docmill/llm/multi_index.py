@@ -17,8 +17,8 @@ from .common import Workspace, pick
 SAMPLE, WORDS, ROUNDS = 20_000, 128, 12
 #: A query reads cells until they hold this share of all rows, and so many rows at least.
 SHARE, LEAST = 0.5, 1_000
-#: Queries that travel at a time, and rows of a file of the index, each of which is searched by a task.
-QUERY_BATCH, FILE_ROWS = 8_192, 8_192
+#: Queries that travel at a time, rows of a file of the index, and queries that a task walks the cells for.
+QUERY_BATCH, FILE_ROWS, WALKS = 8_192, 8_192, 256
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -137,7 +137,8 @@ def search(vectors: DataFrame, queries: str, k: int = 20, share: float = SHARE,
             reach = [books.reach(q, counts, need) for q in _matrix(batch.column("v"), dims)] if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("v"), pa.array(reach, pa.float64())], ["query_id", "v", "reach"])
 
-    asked = index.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct()
+    asked = index.where(queries).select(F.col("vec_id").alias("query_id"), "v")
+    asked = asked.distinct().repartition(max(1, -(-asked.count() // WALKS)), F.xxhash64("query_id"))
     walked = work.save(asked.mapInArrow(walk, "query_id long, v array<double>, reach double"), "walked")
     rounds = max(1, -(-walked.count() // QUERY_BATCH))
 
