@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import mixed, pick
 
@@ -54,7 +55,7 @@ def terms(text: str | None) -> np.ndarray:
         lines = [x for x in raw.split(b"\n") if x]
         out[HASHED:] = (
             8 * sum(map(eq, words, words[1:])) / n,
-            8 * (1 - sum(len(set(b)) / len(b) * len(b) for b in blocks) / n),
+            8 * (1 - sum(len(set(b)) for b in blocks) / n),
             4 * (1 - len(set(lines)) / len(lines)),
             np.log1p(n) / 2,
             np.log1p(len(raw) / n),
@@ -130,8 +131,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 rows = np.array([terms(t.as_py()) for t in part.column(text_col)], np.float32).reshape(-1, TERMS)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(rows))], [*part.schema.names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
