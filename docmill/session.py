@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -16,9 +24,25 @@ DEFAULTS = {
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
+    os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: sends it along where their search path doesn't hold it already."""
+    context = spark.sparkContext
+    found = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        found.add(os.path.realpath(os.getcwd()))
+    if ROOT in found or getattr(context, "_docmill_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="docmill-")  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(f"{ROOT}/docmill", f"{folder}/source/docmill", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/docmill", "zip", f"{folder}/source"))
+    context._docmill_shipped = True
