@@ -54,15 +54,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: from the files of rewritten shards, and from the plan where a shard keeps its rows."""
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "shards")
-    placed = shards.reshard(docs, old_shards=32, new_shards=40, work=work)
-    files = shards.rewrite(docs, work.save(placed, "plan"), f"{work.root}/files")
-    work.keep("files")
+    plan = work.save(shards.reshard(docs, old_shards=32, new_shards=40, work=work), "plan")
+    files = shards.rewrite(docs, plan, f"{work.root}/files")
+    work.keep("files", "plan")
     text = F.coalesce("text", F.lit(""))
-    return files.select(
+    size = F.octet_length(text).cast("long") + shards.OVERHEAD
+    written = files.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot")
+    as_before = plan.join(F.broadcast(shards.affected(plan)), "shard", "left_anti").select(*written.columns)
+    return written.unionByName(as_before).select(
         "doc_id",
-        (F.octet_length(text).cast("long") + shards.OVERHEAD).alias("size"),
-        F.crc32(text).alias("text_crc32"),
+        "size",
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

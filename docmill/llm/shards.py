@@ -127,6 +127,12 @@ def reshard(
     return done.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.row_number().over(same).alias("occurrence"), F.col("old").alias("old_shard"), "shard", (F.col("n") + F.col("shift")).alias("slot"))
 
 
+def affected(placed: DataFrame) -> DataFrame:
+    """The shards that gain or lose a row."""
+    moved = placed.where("old_shard <> shard")
+    return moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
+
+
 def rewrite(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files of every shard that gains or loses rows, as shard=K folders of (doc_id, text, slot), and reads them.
 
@@ -138,9 +144,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, folder: str, id_col: str = "doc_
     key = F.xxhash64("doc_id", "text_crc32", "size")
     rows = rows.withColumn("key", key)
     rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "text_crc32", "size")))
-    moved = placed.where("old_shard <> shard")
-    affected = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    where = placed.join(F.broadcast(affected), "shard").select("text_crc32", "size", "occurrence", "shard", "slot", key.alias("key"))
+    where = placed.join(F.broadcast(affected(placed)), "shard").select("text_crc32", "size", "occurrence", "shard", "slot", key.alias("key"))
     # Differences, not equalities: the texts then stay partitioned by key alone, as the window has left them.
     same = "r.key = p.key AND r.occurrence - p.occurrence = 0 AND r.text_crc32 - p.text_crc32 = 0 AND r.size - p.size = 0"
     out = rows.alias("r").join(where.alias("p"), F.expr(same)).select("r.doc_id", "r.text", "p.slot", "p.shard")

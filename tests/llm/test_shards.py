@@ -3,7 +3,7 @@ import random
 import zlib
 
 import pytest
-from docmill.llm import shards
+from docmill.llm import queries, shards
 from docmill.llm.common import Workspace
 
 from .helpers import docs, words
@@ -78,5 +78,15 @@ def test_nothing_moves_where_shards_are_even(spark, tmp_path):
     assert shards.rewrite(df, plan, f"file://{tmp_path}/none").count() == 0
 
 
+def test_query_returns_documents_of_shards_that_keep_their_rows(spark, tmp_path):
+    rows = [(i, " ".join(words(3 + i % 60, i)) * (200 if i % 50 == 0 else 1)) for i in range(200)] + [(None, None), (7, "same"), (7, "same")]
+    docs(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = queries.op8_reshard(spark, f"file://{tmp_path}").collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in out) == sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    for k in range(40):
+        slots = sorted(r.slot for r in out if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_empty_table(spark):
     assert shards.reshard(docs(spark, []), 3, 4).collect() == []
