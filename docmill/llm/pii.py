@@ -92,14 +92,45 @@ def _card(f: Feistel, text: str) -> str | None:
     return _fill(text, payload + luhn(payload))
 
 
+def _cards(f: Feistel, text: str, run: tuple[int, int], free: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in a run of digit groups.
+
+    The longest stretch of groups comes first, in any grouping; where it is no card, shorter ones and those that begin at
+    later groups are tried, as long as all groups but the last have four digits or more, as cards have and phones have not.
+    """
+    groups = [g.span() for g in _GROUP.finditer(text, *run)]
+    sizes, last = [b - a for a, b in groups], len(groups) - 1
+    i = fresh = 0
+    while i <= last:
+        ends, digits, begins = [], 0, _BEGIN.match(text, groups[i][0]) is not None
+        for j in range(i, last + 1):
+            if (digits := digits + sizes[j]) > 19:
+                break
+            if digits >= 13 and (j < last or _END.match(text, groups[j][1])):
+                ends.append(j)
+        whole = next((j for j in reversed(ends) if begins and _END.match(text, groups[j][1])), None) if i == fresh else None
+        if i == fresh:
+            fresh = i + 1 if whole is None else whole + 1
+        tries = [j for j in reversed(ends) if j != whole and (i or begins) and all(n >= 4 for n in sizes[i:j])]
+        for j in tries if whole is None else [whole, *tries]:
+            a, b = groups[i][0], groups[j][1]
+            if free(a, b) and (new := _card(f, text[a:b])) is not None:
+                yield a, b, new
+                i = fresh = j + 1
+                break
+        else:
+            i += 1
+
+
 def _phone(f: Feistel, text: str) -> str | None:
     d = _only(text)
     country, national = d[:-10], d[-10:]
-    good = lambda x: x // 10**9 >= 2 and x // 10**6 % 10 >= 2  # noqa: E731  area code and exchange begin with 2 to 9
-    if len(d) not in (10, 11) or country not in ("", "1") or int(national[0]) < 2:
+    if len(d) not in (10, 11) or country not in ("", "1"):
         return None
-    valid = good if good(int(national)) else (lambda x: x // 10**9 >= 2 and x // 10**6 % 10 < 2)
-    return _fill(text, country + str(f.permute(f"phone{valid is good}", 10**10, int(national), valid)).zfill(10))
+    kind = lambda x: (x // 10**9 >= 2, x // 10**6 % 10 >= 2)  # noqa: E731  whether area code and exchange begin with 2 to 9
+    area, exchange = own = kind(int(national))
+    tweak = f"phone{exchange}" if area else f"phone0{exchange}"
+    return _fill(text, country + str(f.permute(tweak, 10**10, int(national), lambda x: kind(x) == own)).zfill(10))
 
 
 def _ssn(f: Feistel, text: str) -> str | None:
@@ -108,14 +139,23 @@ def _ssn(f: Feistel, text: str) -> str | None:
     return _fill(text, str(f.permute("ssn", 10**9, x, valid)).zfill(9)) if valid(x) else None
 
 
+#: Blocks of first octets that keep to themselves: this network, loopback, multicast, reserved.
+_SPECIAL = ((0, 1), (127, 128), (224, 240), (240, 256))
+#: The one address that is the same machine for everybody.
+_LOCALHOST = 127 << 24 | 1
+
+
 def _ip(f: Feistel, text: str) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if any(p > 255 for p in parts) or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    valid = lambda v: v >> 24 not in (0, 127) and v >> 24 < 224  # noqa: E731  neither this host nor multicast
-    if not valid(x := int.from_bytes(bytes(parts), "big")):
+    if (x := int.from_bytes(bytes(parts), "big")) == _LOCALHOST:
         return None
-    x = f.permute("ipv4", 2**32, x, valid)
+    if (block := next(((a, b) for a, b in _SPECIAL if a <= parts[0] < b), None)) is None:
+        x = f.permute("ipv4", 2**32, x, lambda v: not any(a <= v >> 24 < b for a, b in _SPECIAL))
+    else:
+        low, high = block[0] << 24, block[1] << 24
+        x = low + f.permute(f"ipv4/{block[0]}", high - low, x - low, lambda v: v + low != _LOCALHOST)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
@@ -167,6 +207,7 @@ def _secret(f: Feistel, text: str) -> str | None:
 
 
 _B, _E = r"(?<![\w.@+\-])", r"(?![\w\-]|\.\d)"
+_BEGIN, _END, _GROUP = re.compile(_B, re.ASCII), re.compile(_E, re.ASCII), re.compile(r"\d+", re.ASCII)
 #: What is looked for, in the order in which overlapping finds win; each find is validated before it is changed.
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
     "email": (r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}", _email),
@@ -175,7 +216,7 @@ KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
     "date": (_B + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _E, _date),
     "ip": (_B + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _E, _ip),
     "ssn": (_B + r"\d{3}-\d{2}-\d{4}" + _E, _ssn),
-    "card": (_B + r"\d(?:[ \-]?\d){12,18}" + _E, _card),
+    "card": (r"\d(?:[ \-]?\d){12,}", _card),
     "phone": (r"(?<![\w.@\-])(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}" + _E, _phone),
 }
 _CHANCE = re.compile(r"\d[\d ()./\-]{4,}\d|\w@\w|AKIA|[0-9a-f]{8}|[A-Z]{2}\d{2}|[=:]|(?:sk|pk|gh.|xox.)[-_]")
@@ -193,9 +234,13 @@ class Pseudonymiser:
         found: list[tuple[int, int, str, str]] = []
         if not _CHANCE.search(text):
             return found
+        free = lambda start, end: all(end <= a or b <= start for a, b, _, _ in found)
         for kind, pattern, change in self.patterns:
             for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, _, _ in found) and (new := change(self.feistel, m[0])) is not None:
+                if kind == "card":
+                    for a, b, new in _cards(self.feistel, text, m.span(), free):
+                        found.append((a, b, kind, new))
+                elif free(m.start(), m.end()) and (new := change(self.feistel, m[0])) is not None:
                     found.append((m.start(), m.end(), kind, new))
         return sorted(found)
 

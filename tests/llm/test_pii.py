@@ -42,6 +42,41 @@ def test_clean_text_stays(text):
     assert P(text) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+1 (132) 555-1352", "012-155-0187"])
+def test_phones_of_any_area_code_change_within_their_class(text):
+    new, spans = P(text)
+    assert new != text and [k for _, _, k, _ in spans] == ["phone"]
+    kind = lambda s: [x >= "2" for x in re.sub(r"\D", "", s)[-10:][::3][:2]]
+    assert kind(new) == kind(text) and re.sub(r"\d", "", new) == re.sub(r"\d", "", text)
+
+
+@pytest.mark.parametrize("text", ["0.12.3.4", "127.3.2.1", "224.0.0.251", "233.254.104.120", "248.40.198.62", "255.255.255.255", "0.0.0.0"])
+def test_addresses_of_any_first_octet_change_within_their_block(text):
+    new, spans = P(text)
+    assert new != text and [k for _, _, k, _ in spans] == ["ip"]
+    first, was = int(new.split(".")[0]), int(text.split(".")[0])
+    assert first >> 4 == was >> 4 if was >= 224 else first == was
+    assert all(0 <= int(x) <= 255 for x in new.split("."))
+
+
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize(
+    ("before", "card", "after"),
+    [("", CARD, " 12/25"), ("", CARD, " 31/12/1999"), ("", CARD, " 1225 123"), ("12 ", CARD, ""), ("", "4111-1111-1111-1111", "-12/25"), ("", "4041894974608795", " 12/25"), ("2024-02-29 ", CARD, ""), ("", "3782 822463 10005", " 12/25"), ("", CARD, " 12.5")],
+)
+def test_cards_beside_more_digits_are_found(before, card, after):
+    spans = [(a, b) for a, b, k, _ in P.spans(before + card + after) if k == "card"]
+    assert spans == [(len(before), len(before + card))]
+    assert P(before + card + after)[0][len(before) :].startswith(P(card)[0])
+
+
+def test_phones_side_by_side_are_no_card():
+    for i in range(100):
+        assert [k for _, _, k, _ in P.spans(f"212-555-01{i:02d} 312-555-0188")] == ["phone", "phone"]
+
+
 def test_every_kind_is_covered():
     assert {k for _, k, _ in CASES} == set(KINDS)
 
