@@ -28,15 +28,16 @@ class PieceLattice:
 
     A BPE file gives ranks and no probabilities, so a piece of rank r scores -log(r + 2); a character without a piece
     is written as its bytes, each of which scores less than any piece. No piece of the file holds the space mark after
-    its first character except runs of it, which the file itself marks as unused; so the lattice of a text is a chain
-    of the lattices of its words, a word being a space mark and what follows it up to the next.
+    another character; so the lattice of a text is a chain of the lattices of its words, a word being a run of space
+    marks and what follows it up to the next.
     """
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         ranked = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        ranked = [i for i in ranked if SPACE not in sp.id_to_piece(i)[1:]]
+        if any(SPACE in sp.id_to_piece(i).lstrip(SPACE) for i in ranked):
+            raise ValueError("a piece holds a space mark after another character, so that words aren't independent")
         ranked.sort(key=lambda i: (-sp.get_score(i), i))
         self.byte = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.text_of: list[bytes] = [b""] * size
@@ -109,7 +110,7 @@ class PieceLattice:
             j, ids = back[j]
             out.append(ids)
         gap = best[n] - second[n] if second[n] > NONE // 2 else -NONE
-        return best[n], gap, tuple(chain.from_iterable(reversed(out))), len(word.encode("utf-8", "surrogatepass")) - 2
+        return best[n], gap, tuple(chain.from_iterable(reversed(out))), len(word.encode("utf-8", "surrogatepass")) - 2 * word.count(SPACE)
 
     def n_best(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first.
@@ -140,7 +141,7 @@ class PieceLattice:
         return out
 
     def listed(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """n_best of a word with its space mark; near ties repeat, so the last ones are remembered."""
+        """n_best of a word with its first space mark; near ties repeat, so the last ones are remembered."""
         if (found := self.lists.get((word, n))) is None:
             if len(self.lists) >= REMEMBERED // 20:
                 self.lists.clear()
@@ -148,8 +149,18 @@ class PieceLattice:
         return found
 
     def words(self, text: str) -> list[str]:
-        """The words without their space marks: encoding puts one before the text, and every space is another."""
-        return text.replace(SPACE, " ").split(" ") if text else []
+        """The words without their first space marks: encoding puts one before the text, and every space is another."""
+        parts = text.replace(SPACE, " ").split(" ") if text else []
+        if "" not in parts[:-1]:
+            return parts
+        out, marks = [], 0
+        for part in parts[:-1]:
+            if part:
+                out.append(SPACE * marks + part)
+                marks = 0
+            else:
+                marks += 1
+        return [*out, SPACE * marks + parts[-1]]
 
     def encode(self, text: str, n: int) -> list[tuple[int, np.ndarray, list[bytes]]]:
         """(score, ids, decoded slices) of the n best segmentations of the whole text, best first.

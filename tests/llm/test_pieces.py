@@ -1,8 +1,10 @@
 import itertools
+import math
 import zlib
 
 import public_tokenizers
 import pytest
+import sentencepiece
 from docmill.llm import pieces
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +49,42 @@ def test_n_best_of_a_text_is_exact():
     assert len({tuple(ids) for _, ids, _ in got}) == 5
 
 
+@pytest.fixture(scope="module")
+def all_pieces():
+    """Ids and scores of all pieces of the file, runs of space marks too."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    usable = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    usable.sort(key=lambda i: (-sp.get_score(i), i))
+    return {sp.id_to_piece(i): (i, -round(math.log(r + 2) * pieces.UNIT)) for r, i in enumerate(usable)}
+
+
+@pytest.mark.parametrize("text", ["a  b", "a   b", "a    b", "  if x", "x\n    y", "a ", "   ", " ", "a" + " " * 9 + "b", "▁▁ a  "])
+def test_n_best_of_texts_with_runs_of_spaces_is_that_of_all_pieces(text, all_pieces):
+    marked, ways = pieces.SPACE + text.replace(" ", pieces.SPACE), []
+
+    def go(i, score, ids):
+        if i == len(marked):
+            ways.append((score, tuple(ids)))
+        for j in range(i + 1, len(marked) + 1):
+            if (found := all_pieces.get(marked[i:j])) is not None:
+                go(j, score + found[1], [*ids, found[0]])
+        if i < len(marked) and marked[i] == "\n":
+            go(i + 1, score + MODEL.byte_score, [*ids, MODEL.byte[10]])
+
+    go(0, 0, [])
+    ways.sort(key=lambda x: -x[0])
+    got = MODEL.encode(text, 4)
+    assert [s for s, _, _ in got] == [s for s, _ in ways[:4]]
+    assert all((s, tuple(ids.tolist())) in ways for s, ids, _ in got)
+    assert {b"".join(slices) for _, _, slices in got} == {marked.replace(pieces.SPACE, " ").encode()}
+
+
+def test_long_runs_of_spaces_are_quick():
+    text = "a" + " " * 20_000 + "b"
+    got = MODEL.encode(text, 4)
+    assert len({tuple(ids.tolist()) for _, ids, _ in got}) == 4 and all(b"".join(s) == b" " + text.encode() for _, _, s in got)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(blacklist_categories=["Cs"], blacklist_characters="▁"), max_size=40))
 def test_round_trip(text):
