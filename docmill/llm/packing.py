@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from .common import pick
 from .tokens import ByteLevelTokenizer
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+#: Ids in a batch of pieces sent to Spark, unless one piece is longer.
+BATCH = 1 << 19
 #: In tokens of padding: what a cut at a sentence's end, a cut inside a sentence and another sequence cost.
 SENTENCE_CUT, HARD_CUT, SEQUENCE = 1, 4, 256
 #: Tokens planned at a time, and how many windows at a plan's end are planned again with what follows.
@@ -86,6 +88,11 @@ class _Packer:
         self.held += len(ids)
 
     def flush(self, final: bool) -> list[tuple]:
+        """Pieces without their ids."""
+        return [piece for piece, _ in self.cut(final)]
+
+    def cut(self, final: bool) -> list[tuple[tuple, np.ndarray]]:
+        """Pieces and their ids."""
         if not self.held:
             return []
         ids = np.concatenate([d[3] for d in self.docs])
@@ -99,7 +106,7 @@ class _Packer:
             while at < cut:
                 doc_id, start, tokens, left = self.docs[0]
                 n = min(len(left), cut - at)
-                out.append((doc_id, start, n, zlib.crc32(left[:n].astype("<u4").tobytes()), tokens, self.sequence, offset))
+                out.append(((doc_id, start, n, zlib.crc32(left[:n].astype("<u4").tobytes()), tokens, self.sequence, offset), left[:n]))
                 offset, at = offset + n, at + n
                 self.docs.popleft()
                 if n < len(left):
@@ -110,7 +117,7 @@ class _Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     A document's ids and then end_id form a stream in the order of the rows of each input partition; the stream is cut
     into sequences of at most `length` ids by plan(). Every id lies in exactly one piece, pieces fill a sequence from
@@ -126,16 +133,22 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int =
         types = [pa.int64()] * 7
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-        def rows(pieces: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*pieces, strict=True) if pieces else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        def rows(pieces: list[tuple[tuple, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            # A sequence holds `length` ids at most, so that many pieces together are a batch of bounded size.
+            step = max(1, BATCH // length)
+            for at in range(0, len(pieces), step):
+                facts, ids = zip(*pieces[at : at + step], strict=True)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*facts, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 ids = encode(text.as_py() or "")
                 packer.add(doc_id.as_py(), np.append(ids, np.uint32(end_id)))
                 if packer.held >= HORIZON:
-                    yield rows(packer.flush(final=False))
-        yield rows(packer.flush(final=True))
+                    yield from rows(packer.cut(final=False))
+        yield from rows(packer.cut(final=True))
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)

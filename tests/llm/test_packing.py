@@ -82,6 +82,13 @@ def test_every_id_in_one_piece_with_little_padding(spark):
     assert sum(1024 - n for n in sizes if n & (n - 1)) < 0.02 * sum(sizes)
 
 
+def test_ids_of_sequences_are_the_stream_of_ids(spark):
+    texts = [(i, " ".join(words(5 + 37 * i % 900, i)) + ".") for i in range(60)] + [(500, None), (502, "x" * 40_000 + " y")]
+    rows = packing.pack(docs(spark, texts).coalesce(1), PATH, length=64).orderBy("sequence_id", "offset").collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert [t for r in rows for t in r.ids] == [t for _, text in texts for t in [*FAST(text or "").tolist(), 0]]
+
+
 def test_plans_go_on_across_horizons():
     texts = [(i, " ".join(words(300, i)) + ".") for i in range(60)]
     p, out = packing._Packer(FAST.ends_sentence(), 64, 0), []

@@ -6,7 +6,7 @@ from docmill.llm.pii import Pseudonymiser
 
 from .helpers import docs
 from .test_near_dedup import brute
-from .test_packing import check
+from .test_packing import FAST, check
 from .test_quality import junk, prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,6 +55,12 @@ def test_packing_is_exact(spark, folder):
     check(rows, [r for r in ROWS if r[0] != 1006], 1024)
 
 
+def test_packed_sequences_carry_their_ids(spark, folder):
+    text = prose(5)
+    rows = cp.pack_sequences(spark, docs(spark, [(1, text), (2, None)]).coalesce(1), folder).orderBy("sequence_id", "offset").collect()
+    assert [t for r in rows for t in r.ids] == [*FAST(text).tolist(), 0, 0]
+
+
 def test_empty_documents(spark, folder):
     d = docs(spark, [])
     for _, stage in cp.STAGES:
