@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import pick
 
@@ -20,7 +22,9 @@ SPACE, NONE = "▁", -(1 << 60)
 UNIT = 1_000_000
 #: Words whose segmentation a worker remembers; the first ones seen are the frequent ones, so they are kept.
 REMEMBERED = 1_200_000
-SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, decoded_crc32 long"
+SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, ids array<int>, text string"
+#: Bytes of text in a batch of segmentations sent to Spark, unless one text is longer.
+BATCH = 4 << 20
 
 
 class PieceLattice:
@@ -251,27 +255,65 @@ def lattice(path: str) -> PieceLattice:
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Up to n rows per document, best segmentation first: doc_id, rank (from 1), score, n_ids, ids_crc32, decoded_crc32.
+    """Up to n rows per document, best segmentation first: doc_id, rank (from 1), score, n_ids, ids_crc32, ids, text, decoded_crc32.
 
-    ids_crc32: unsigned, of little-endian unsigned 32-bit ids. decoded_crc32: of the text that decoding the ids gives,
-    in UTF-8; it is the text itself, except that U+2581 reads back as a space. Narrow map over whole texts, no shuffle.
+    ids_crc32: unsigned, of little-endian unsigned 32-bit ids. text: what decoding the ids gives; it is the text itself,
+    except that U+2581 reads back as a space. decoded_crc32: of text in UTF-8. Narrow map over whole texts, no shuffle.
 
     Null and empty texts: one segmentation without ids. Repeated rows and null ids: each row on its own.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+
+    def rows(out: list[tuple], ids: list[np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts, pa.binary()).cast(pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(model_path)
         for batch in batches:
-            out = []
+            out, all_ids, texts, held = [], [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for rank, (score, ids, slices) in enumerate(model.encode(text.as_py() or "", n), 1):
-                    crc, skip = 0, 1
-                    for s in slices:
-                        crc, skip = zlib.crc32(s[skip:] if s else s, crc), 0 if s else skip
-                    out.append((doc_id, rank, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), crc))
-            columns = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+                    out.append((doc_id, rank, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    all_ids.append(ids)
+                    texts.append(b"".join(slices)[1:])
+                    held += len(texts[-1])
+                    if held >= BATCH:
+                        yield rows(out, all_ids, texts)
+                        out, all_ids, texts, held = [], [], [], 0
+            if out:
+                yield rows(out, all_ids, texts)
+
+    found = pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return found.withColumn("decoded_crc32", F.crc32("text"))
+
+
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """rows with the text that the ids of ids_col (array<int>) give in text_col, which is added or replaced.
+
+    The space that encoding puts before a text is left out. Ids that make no UTF-8, as a part of a text's ids may, give
+    U+FFFD there; ids without text, such as control ids, give none; ids outside the file raise an error.
+    Narrow map, no shuffle. Null ids, or a null among them: null text. No ids: empty text.
+    """
+    rows = rows.drop(text_col)
+    schema = StructType([*rows.schema.fields, StructField(text_col, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattice(model_path)
+
+        def text_of(ids: list[int | None] | None) -> str | None:
+            if ids is None or None in ids:
+                return None
+            if ids and not 0 <= min(ids) <= max(ids) < len(model.text_of):
+                raise ValueError("an id that the model file doesn't hold")
+            return model.decode_part(tuple(ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+        for batch in batches:
+            at = batch.schema.get_field_index(ids_col)
+            texts = pa.array([text_of(ids.as_py()) for ids in batch.column(at)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text_col])
+
+    return rows.mapInArrow(run, schema)

@@ -2,6 +2,7 @@ import itertools
 import math
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -105,3 +106,18 @@ def test_rows_of_null_empty_repeated_and_long_texts(spark):
     assert sorted(r["rank"] for r in of[3]) == [1, 1, 2, 2, 3, 3] and len(of[None]) >= 1
     assert {r.decoded_crc32 for r in of[4]} == {zlib.crc32(long_text.encode())} and {r.decoded_crc32 for r in of[5]} == {zlib.crc32(b"x y")}
     assert pieces.segment(docs(spark, []), PATH).collect() == []
+
+
+def test_ids_and_text_leave_and_ids_decode(spark):
+    rows = [(1, None), (2, ""), (3, "a  b"), (4, "x▁y 日本é\n"), (5, " ".join(words(3000, 2)))]
+    found = pieces.segment(docs(spark, rows, clash=True), PATH, n=3)
+    out = found.collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, 4, 5}
+    for r in out:
+        want = (dict(rows)[r.doc_id] or "").replace("▁", " ")
+        assert r.text == want and MODEL.decode(np.array(r.ids, np.uint32))[1:].decode() == want and r.decoded_crc32 == zlib.crc32(want.encode())
+        assert len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    decoded = pieces.decode(found.select("doc_id", "rank", "ids"), PATH).collect()
+    assert {(r.doc_id, r["rank"]): r.text for r in decoded} == {(r.doc_id, r["rank"]): r.text for r in out}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [MODEL.byte[0xE6]]), (4, [None])], "k int, ids array<int>")
+    assert [r.text for r in pieces.decode(odd, PATH).orderBy("k").collect()] == [None, "", "\ufffd", None]
