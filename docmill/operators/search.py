@@ -66,9 +66,9 @@ def query_words(spark, text: str) -> list[str]:
     return list(row.w)
 
 
-def fulltext(df: DataFrame, fields: str | Sequence[str], query: str, distance: int = 2, limit: int = LIMIT) -> DataFrame:
+def fulltext(df: DataFrame, fields: str | Sequence[str], query: str, distance: int = 2, limit: int | None = LIMIT) -> DataFrame:
     """(doc, score, matched): candidates share a word with the query; each pair of words scores 10 if equal, 5 if within
-    `distance` edits. The best field counts. Best first."""
+    `distance` edits. The best field counts. Best first; all of them where limit is None."""
     words = query_words(df.sparkSession, query)
     names = [fields] if isinstance(fields, str) else list(fields)
     terms = F.array(*(F.lit(w) for w in words)).cast("array<string>")
@@ -87,7 +87,8 @@ def fulltext(df: DataFrame, fields: str | Sequence[str], query: str, distance: i
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     matched = F.array_distinct(F.flatten(F.array(*hits)))
     doc = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    return df.where(candidate).select(doc.alias("doc"), best.alias("score"), matched.alias("matched")).orderBy(F.desc("score")).limit(limit)
+    found = df.where(candidate).select(doc.alias("doc"), best.alias("score"), matched.alias("matched")).orderBy(F.desc("score"))
+    return found if limit is None else found.limit(limit)
 
 
 def bm25_search(df: DataFrame, field: str, query: str, key: str, k: int = 10) -> DataFrame:

@@ -231,7 +231,7 @@ def vector_search_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, CAST(list_sum([CASE WHEN x = 'the' THEN 10 WHEN levenshtein(x, 'the') <= 2 THEN 5 ELSE 0 END + CASE WHEN x = 'and' THEN 10 WHEN levenshtein(x, 'and') <= 2 THEN 5 ELSE 0 END + CASE WHEN x = 'thing' THEN 10 WHEN levenshtein(x, 'thing') <= 2 THEN 5 ELSE 0 END FOR x IN words]) AS DOUBLE) AS score
     FROM w, q WHERE list_has_any(words, terms) ORDER BY score DESC""")
 def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.fulltext(engine(spark, sf_dir).catalog.table("benchmark"), "text", "the and thing", limit=1_000_000)
+    found = search.fulltext(engine(spark, sf_dir).catalog.table("benchmark"), "text", "the and thing", limit=None)
     return found.select("doc.item_id", "score")
 
 

@@ -206,3 +206,13 @@ def test_tables_are_read_while_they_are_replaced(e):
     e.catalog.replace("t", e.spark.range(5).toDF("k"))
     e.catalog.replace("t", e.catalog.table("t").where("k > 2"))
     assert e.catalog.table("t").count() == 2
+
+
+def test_fulltext_query_has_no_limit(spark):
+    from docmill.operators import search
+    from docmill.plans import catalog_queries
+
+    plan = catalog_queries.QUERIES["fulltext_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+    many = spark.range(150).selectExpr("id", "'some thing' AS text")
+    assert search.fulltext(many, "text", "thing", limit=None).count() == 150 and search.fulltext(many, "text", "thing", limit=7).count() == 7
