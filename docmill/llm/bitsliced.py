@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from .common import Workspace, pick
 #: Rows of an index block, queries that travel at a time, and the high bits of attributes and of query weights in use.
 BLOCK_ROWS, QUERY_BATCH, ATTRIBUTE_BITS, WEIGHT_BITS = 16_384, 8_192, 8, 12
 HITS = "query_id long, vec_id long, score long"
+#: Rows with a component from here on are scored aside, and bitmaps are used where no sum can pass EXACT.
+LARGE, EXACT = 1 << 40, 1 << 62
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -135,11 +138,12 @@ class Block:
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and floor(scale * x) of every component; null ids, null vectors and null or non-finite components go.
 
-    So do vectors with a component of 2**40 or more, as scores are 64-bit integers and must not overflow.
+    A component whose floor is no 64-bit integer raises an error.
     """
     slim = pick(vectors, vec_id=id_col, v=vector_col).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**40)))
-    return slim.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    fits = lambda y: F.when(F.abs(y) < float(2**63), F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large for a 64-bit integer")).cast("long"))
+    return slim.where(fine).select("vec_id", F.transform("v", lambda x: fits(x.cast("double") * scale)).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -150,7 +154,8 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_c
     in batches of QUERY_BATCH, so that what is sent has a fixed size, and every block answers with its k best. The
     result is exact: bitmaps only rule out rows whose upper bound is below the k-th lower bound.
 
-    Null, empty and non-finite vectors take no part. Vectors of another length than a query's are no candidates of it.
+    Null, empty and non-finite vectors take no part. Rows and queries whose products could pass 64 bits are scored in
+    whole numbers of any size; a score among the k best that is no 64-bit integer raises an error. Vectors of another length than a query's are no candidates of it.
     Repeated ids: each row is a candidate, and the k best for any of a query id's vectors are its answer. An empty table
     gives no rows.
     """
@@ -179,16 +184,30 @@ def _search(sent: list[tuple[int, np.ndarray]], k: int):
 
     def answers(ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ids, kind="stable")
-        block = Block(ids[order], rows[order])
+        ids, rows = ids[order], rows[order]
+        large = ((rows >= LARGE) | (rows <= -LARGE)).any(axis=1)
+        aside = ids[large], rows[large]
+        block = Block(ids[~large], rows[~large]) if not large.all() else None
+        bound = int(np.abs(block.rows).max(initial=0)) * 4 if block else 0
         for q, v in sent:
             if len(v) != rows.shape[1]:
                 continue
-            a, b = np.searchsorted(block.ids, [q, q + 1])
-            at, score = block.search(v, k + (b - a), None)
-            other = block.ids[at] != q
-            at, score = at[other], score[other]
-            best = np.lexsort((block.ids[at], -score))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(block.ids[at[best]]), pa.array(score[best])], names)
+            mine = block is not None and sum(abs(x) for x in v.tolist()) * bound < EXACT
+            near_ids, near = np.empty(0, np.int64), np.empty(0, np.int64)
+            if mine:
+                a, b = np.searchsorted(block.ids, [q, q + 1])
+                at, score = block.search(v, k + (b - a), None)
+                other = block.ids[at] != q
+                at, score = at[other], score[other]
+                best = np.lexsort((block.ids[at], -score))[:k]
+                near_ids, near = block.ids[at[best]], score[best]
+            if large.any() or not mine:
+                exact_ids, exact = aside if mine else (ids, rows)
+                scores = exact.astype(object) @ v.astype(object)
+                pairs = [(-s, i) for s, i in zip(scores.tolist(), exact_ids.tolist(), strict=True) if i != q]
+                pairs = heapq.nsmallest(k, [*pairs, *zip((-near).tolist(), near_ids.tolist(), strict=True)])
+                near_ids, near = [i for _, i in pairs], [-s for s, _ in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near_ids), q)), pa.array(near_ids, pa.int64()), pa.array(near, pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}

@@ -110,3 +110,19 @@ def test_heap_visits_exactly_the_cells_within_reach():
             if held >= need:
                 break
         assert reach == pytest.approx(last)
+
+
+def test_components_of_any_size_are_scored_exactly(spark):
+    small = np.random.default_rng(11).uniform(-1, 1, (60, 4)).tolist()
+    rows = [*enumerate(small), (100, [2.0**41, 0.5, 0.25, 1.0]), (101, [-(2.0**41), 0.5, 3.0, 1.0])]
+    fine = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in [*range(10), 100, 101]:
+        scored = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = bitsliced.top_k(df, "vec_id < 10 OR vec_id >= 100", k=5).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {100, 101} <= {i for q, _, i, _ in want if q < 10}
+    too_large = df.union(spark.createDataFrame([(102, [2.0**41, 0.0, 0.0, 0.0])], df.schema))
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        bitsliced.top_k(too_large, "vec_id = 100", k=5).collect()
