@@ -53,9 +53,11 @@ def reached(starts: DataFrame, edges: DataFrame, direction: str, low: int, high:
     return reduce(DataFrame.unionByName, found, empty)
 
 
-def with_documents(catalog, rows: DataFrame, column: str, name: str) -> tuple[DataFrame, T.DataType]:
-    """rows with the vertex documents of ids like `collection/key`; rows without one go."""
-    collections = [r[0] for r in rows.select(F.substring_index(column, "/", 1)).distinct().collect()]
+def with_documents(catalog, rows: DataFrame, column: str, name: str, collections: list[str] | None = None) -> tuple[DataFrame, T.DataType]:
+    """rows with the vertex documents of ids like `collection/key`; rows without one go. The names of the collections
+    are looked up in the rows unless they are given."""
+    if collections is None:
+        collections = [r[0] for r in rows.select(F.substring_index(column, "/", 1)).distinct().collect()]
     tables = []
     for c in collections:
         if c and catalog.has(c):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import QueryError, Value, common, conform, field_of
 from ..lang import tree as t
+from ..sources.checkpoints import saved
 
 SYSTEM = ("_key", "_id", "_rev", "_created_at", "_updated_at")
 
@@ -91,6 +92,22 @@ def check_collection(catalog, collection: str, df: DataFrame, updating: bool = F
             raise QueryError("edges need _from and _to")
 
 
+def written(catalog, collection: str, kept: DataFrame, new: DataFrame) -> None:
+    """The collection's next version: kept rows as they were and new ones, which keep its unique indexes."""
+    for columns in catalog.unique.get(collection, ()):
+        if set(columns) <= set(new.columns):
+            check_unique(collection, kept, new, columns)
+    catalog.replace(collection, merged(kept, new))
+
+
+def check_unique(collection: str, kept: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> None:
+    """Fails where a new row's values are those of another row; nulls don't count. Kept rows without a match aren't grouped."""
+    values = new.select(*(F.col(f"`{c}`") for c in columns)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    taken = kept.join(values.distinct(), list(columns), "left_semi").select(*columns) if set(columns) <= set(kept.columns) else values.limit(0)
+    if (bad := unique_violations(values.unionByName(taken), *columns).first()) is not None:
+        raise QueryError(f"{collection}: {', '.join(f'{c} = {bad[c]!r}' for c in columns)} must be unique")
+
+
 def insert(compiler, frame, c: t.Insert):
     from ..plans.compiler import Frame
 
@@ -99,21 +116,21 @@ def insert(compiler, frame, c: t.Insert):
     doc = compiler.expr(e, frame.scope)
     if not isinstance(doc.type, T.StructType):
         raise QueryError("INSERT needs an object")
-    fixed = catalog_checkpoint(catalog, with_system_columns(frame.df.select(doc.col.alias("d")).select("d.*"), c.collection))
-    check_collection(catalog, c.collection, fixed)
+    # Written once, so that random keys and times, and the order of rows, are the same in every use.
+    fixed = saved(with_system_columns(frame.df.select(doc.col.alias("d")).select("d.*"), c.collection).withColumn("__at", F.monotonically_increasing_id()))
+    new = fixed.drop("__at")
+    check_collection(catalog, c.collection, new)
     if catalog.has(c.collection) and "_key" in catalog.table(c.collection).columns and "_key" in doc.type.fieldNames():
-        last = fixed.withColumn("__n", F.row_number().over(Window.partitionBy("_key").orderBy(F.monotonically_increasing_id().desc()))).where("__n = 1").drop("__n")
-        kept = catalog.table(c.collection).join(fixed.select("_key"), "_key", "left_anti")
-        catalog.replace(c.collection, merged(kept, last))
+        last = fixed.withColumn("__n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("__at")))).where("__n = 1").drop("__n", "__at")
+        written(catalog, c.collection, catalog.table(c.collection).join(new.select("_key"), "_key", "left_anti"), last)
+    elif catalog.has(c.collection) and catalog.unique.get(c.collection):
+        written(catalog, c.collection, catalog.table(c.collection), new)
     else:
-        catalog.append(c.collection, fixed)
-    n = fixed.count()
-    return Frame(fixed.select(F.struct("*").alias("NEW")), {"NEW": fixed.schema}, (), True), {"inserted": n}
-
-
-def catalog_checkpoint(catalog, df: DataFrame) -> DataFrame:
-    """df written once, so that random keys and times don't change between uses."""
-    return catalog.replace("__pending", df)
+        for columns in catalog.unique.get(c.collection, ()):
+            check_unique(c.collection, new.limit(0), new, columns)
+        catalog.append(c.collection, new)
+    n = new.count()
+    return Frame(new.select(F.struct("*").alias("NEW")), {"NEW": new.schema}, (), True), {"inserted": n}
 
 
 def changes_by_key(compiler, frame, selector: t.Node, changes: t.Node | None) -> DataFrame:
@@ -131,44 +148,46 @@ def changes_by_key(compiler, frame, selector: t.Node, changes: t.Node | None) ->
 
 
 def applied(table: DataFrame, changes: DataFrame, whole: bool = False) -> DataFrame:
-    """table joined with changes on _key: a shallow merge, or with `whole` a replacement; __hit marks changed rows."""
+    """The rows of table whose _key has changes: a shallow merge, or with `whole` a replacement; __old has the rows before."""
     type_ = changes.schema["__changes"].dataType
-    joined = table.join(changes, table["_key"] == changes["__key"], "left")
-    hit, out = F.col("__key").isNotNull(), []
+    joined = table.join(changes, table["_key"] == changes["__key"])
+    out = []
     for f in table.schema.fields:
         old = Value(F.col(f"`{f.name}`"), f.dataType)
         if f.name == "_rev":
-            out.append(F.when(hit, F.uuid()).otherwise(old.col).alias("_rev"))
+            out.append(F.uuid().alias("_rev"))
         elif f.name == "_updated_at":
-            now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-            out.append(F.when(hit, now).otherwise(old.col).alias("_updated_at"))
+            out.append(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("_updated_at"))
         elif f.name in type_.fieldNames() and not f.name.startswith("_"):
             new = field_of(Value(F.col("__changes"), type_), f.name)
             both = common([old.type, new.type])
-            out.append(F.when(hit, conform(new, both)).otherwise(conform(old, both)).alias(f.name))
+            out.append(conform(new, both).cast(both).alias(f.name))
         elif whole and not f.name.startswith("_"):
-            out.append(F.when(hit, F.lit(None)).otherwise(old.col).alias(f.name))
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
         else:
             out.append(old.col.alias(f.name))
     for name in type_.fieldNames():
         if name not in table.columns and not name.startswith("_"):
-            out.append(F.when(hit, F.col("__changes")[name]).alias(name))
-    previous = F.struct(*(F.col(f"`{x}`") for x in table.columns)).alias("__old")
-    return joined.select(*out, hit.alias("__hit"), previous)
+            out.append(F.col("__changes")[name].alias(name))
+    return joined.select(*out, F.struct(*(F.col(f"`{x}`") for x in table.columns)).alias("__old"))
 
 
-def update(compiler, frame, c: t.Update):
+def changed_frame(done: DataFrame):
+    """NEW and OLD as the variables of what follows."""
     from ..plans.compiler import Frame
 
+    names = [x for x in done.columns if x != "__old"]
+    out = done.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("NEW"), F.col("__old").alias("OLD"))
+    return Frame(out, {f.name: f.dataType for f in out.schema.fields}, (), True)
+
+
+def update(compiler, frame, c: t.Update):
+    """Changed rows are written once for NEW and OLD, and the table's next version once: kept rows and changed ones."""
     catalog, table = compiler.catalog, compiler.catalog.table(c.collection)
     check_collection(catalog, c.collection, table, updating=True)
-    changes = changes_by_key(compiler, frame, c.selector, c.changes)
-    after = catalog_checkpoint(catalog, applied(table, changes))
-    catalog.replace(c.collection, after.drop("__hit", "__old"))
-    hits = after.where("__hit")
-    names = [x for x in after.columns if x not in ("__hit", "__old")]
-    out = hits.select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("NEW"), F.col("__old").alias("OLD"))
-    return Frame(out, {f.name: f.dataType for f in out.schema.fields}, (), True), {"updated": hits.count()}
+    done = saved(applied(table, changes_by_key(compiler, frame, c.selector, c.changes)))
+    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"))
+    return changed_frame(done), {"updated": done.count()}
 
 
 def remove(compiler, frame, c: t.Remove):
@@ -176,37 +195,44 @@ def remove(compiler, frame, c: t.Remove):
 
     catalog, table = compiler.catalog, compiler.catalog.table(c.collection)
     keys = changes_by_key(compiler, frame, c.selector, None)
-    gone = catalog_checkpoint(catalog, table.join(keys, table["_key"] == keys["__key"], "left_semi"))
+    gone = saved(table.join(keys, table["_key"] == keys["__key"], "left_semi"))
     catalog.replace(c.collection, table.join(gone.select("_key"), "_key", "left_anti").select(*table.columns))
     return Frame(gone.select(F.struct("*").alias("OLD")), {"OLD": gone.schema}, (), True), {"removed": gone.count()}
 
 
 def upsert(compiler, frame, c: t.Upsert):
-    """Rows whose key is known are updated (or with REPLACE replaced), the others inserted."""
-    from ..plans.compiler import Frame
+    """Rows whose key is known are updated (or with REPLACE replaced), the others inserted.
 
+    Rows of the same key follow each other: a known document takes the last change, an unknown one is inserted by the
+    first row and takes the last change of the others. A row without a key, or whose new document has another key than
+    the one sought, never meets another row: each inserts a document.
+    """
     catalog = compiler.catalog
-    for e in (c.search, c.insert, c.update):
-        frame, _ = compiler.hoisted(frame, e)
-    scope = frame.scope
-    search = compiler.expr(c.search, scope)
-    key = key_of(search)
-    rows = frame.df.select(key.alias("__key"), compiler.expr(c.insert, scope).col.alias("__insert"), compiler.expr(c.update, scope).col.alias("__changes"), F.monotonically_increasing_id().alias("__at"))
-    rows = catalog_checkpoint(catalog, rows.groupBy("__key").agg(F.max_by("__insert", "__at").alias("__insert"), F.max_by("__changes", "__at").alias("__changes")))
+    frame, search = compiler.hoisted(frame, c.search)
+    frame, new = compiler.hoisted(frame, c.insert)
+    frame, change = compiler.hoisted(frame, c.update)
+    key, new, change = key_of(compiler.expr(search, frame.scope)), compiler.expr(new, frame.scope), compiler.expr(change, frame.scope)
+    if not (isinstance(new.type, T.StructType) and isinstance(change.type, T.StructType)):
+        raise QueryError("UPSERT inserts an object and updates with one")
+    if not catalog.has(c.collection):
+        catalog.replace(c.collection, with_system_columns(compiler.spark.createDataFrame([], T.StructType([f for f in new.type.fields if f.name != "_key"])), c.collection))
     table = catalog.table(c.collection)
-    known = rows.join(table.select(F.col("_key").alias("__key")), "__key", "left_semi")
-    new = rows.join(table.select(F.col("_key").alias("__key")), "__key", "left_anti")
-    fields = rows.schema["__insert"].dataType.fieldNames()
-    fresh = new.select("__key", "__insert.*")
-    fresh = fresh.withColumn("_key", F.coalesce(F.col("_key").cast("string") if "_key" in fields else F.lit(None).cast("string"), F.col("__key"))).drop("__key")
-    n_new, n_known = new.count(), known.count()
-    after = applied(table, known.select("__key", "__changes"), c.replace)
-    done = merged(after, with_system_columns(fresh, c.collection).withColumn("__hit", F.lit(True)))
-    done = catalog.replace("__pending_upsert", done)
-    catalog.replace(c.collection, done.drop("__hit", "__old"))
-    names = [x for x in done.columns if x not in ("__hit", "__old")]
-    out = done.where("__hit").select(F.struct(*(F.col(f"`{x}`") for x in names)).alias("NEW"), F.col("__old").alias("OLD"))
-    return Frame(out, {f.name: f.dataType for f in out.schema.fields}, (), True), {"inserted": n_new, "updated": n_known}
+    rows = saved(frame.df.select(key.alias("__key"), new.col.alias("__insert"), change.col.alias("__changes"), F.monotonically_increasing_id().alias("__at")))
+    keys = table.select(F.col("_key").alias("__key"))
+    known = rows.join(keys, "__key", "left_semi").groupBy("__key").agg(F.max_by("__changes", "__at").alias("__changes"))
+    unknown = rows.join(keys, "__key", "left_anti")
+    own = F.col("__insert")["_key"].cast("string") if "_key" in new.type.fieldNames() else F.lit(None).cast("string")
+    meets = F.coalesce(own == F.col("__key"), F.lit(False))
+    first = unknown.where(meets).groupBy("__key").agg(F.min_by("__insert", "__at").alias("__insert"), F.max_by("__changes", "__at").alias("__changes"), F.count(F.lit(1)).alias("__n"))
+    fresh = saved(with_system_columns(first.select("__insert.*").unionByName(unknown.where(~meets).select("__insert.*")), c.collection))
+    again = first.where("__n > 1").select("__key", "__changes")
+    twice = applied(fresh, again, c.replace).drop("__old")
+    inserted = merged(fresh.join(twice.select("_key"), "_key", "left_anti"), twice) if "_key" in new.type.fieldNames() else fresh
+    updated = applied(table, known, c.replace)
+    done = saved(merged(updated, inserted))
+    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"))
+    n_new = fresh.count()
+    return changed_frame(done), {"inserted": n_new, "updated": rows.count() - n_new}
 
 
 # -- upkeep

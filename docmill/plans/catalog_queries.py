@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -13,6 +12,7 @@ from ..api import Engine
 from ..operators import search
 from ..operators.columnar import Columnar
 from ..sources.catalog import Catalog
+from ..sources.checkpoints import own_folder
 from ..streaming import streams
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -26,8 +26,7 @@ FLAGSHIP = """
 
 def scratch(spark: SparkSession) -> str:
     """A folder of its own below the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docmill-checkpoints"
-    return f"{root.rstrip('/')}/queries-{uuid.uuid4().hex}"
+    return own_folder(spark, "queries")
 
 
 def engine(spark: SparkSession, sf_dir: str, writable: bool = False, flat: bool = False) -> Engine:
@@ -334,6 +333,55 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("FOR p IN people RETURN {k: p._key, b: p.b, t: p.t}")
 
 
+@added("upsert_rows", """
+    SELECT 'c' || c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'known' ELSE 'new' END AS s, CAST(CASE WHEN c_custkey % 2 = 0 THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) ELSE c_nationkey END AS DOUBLE) AS n FROM customer
+    UNION ALL SELECT NULL, r_name, 1.0 FROM region""")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known customers are updated from a subquery, others inserted; rows that seek no key are inserted each."""
+    e = engine(spark, sf_dir, writable=True)
+    e.query('FOR c IN customer FILTER c.c_custkey % 2 == 0 INSERT {_key: CONCAT("c", c.c_custkey), s: "old", n: 0.0} INTO people')
+    e.query('FOR c IN customer UPSERT {_key: CONCAT("c", c.c_custkey)} INSERT {_key: CONCAT("c", c.c_custkey), s: "new", n: c.c_nationkey * 1.0} UPDATE {s: "known", n: LENGTH((FOR o IN orders FILTER o.o_custkey == c.c_custkey RETURN o)) * 1.0} IN people')
+    e.query('FOR r IN region LET none = r.r_regionkey < 0 ? "x" : null UPSERT none INSERT {_key: none, s: r.r_name, n: 1.0} UPDATE {s: "never"} IN people')
+    return e.query('FOR p IN people RETURN {k: p._key =~ "^c[0-9]+$" ? p._key : null, s: p.s, n: p.n}')
+
+
+def keyed(e: Engine, table: str, key: str, name: str | None = None) -> None:
+    """A table of the driver's with its key as _key."""
+    df = e.catalog.table(table)
+    e.catalog.add(name or f"{table}_docs", df.withColumn("_key", F.col(key).cast("string")))
+
+
+@added("document_by_ref", """
+    SELECT s_suppkey AS k, n_name AS n, r_name AS r, [n_name] AS both FROM supplier
+    LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def document_by_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by ids that rows hold: one id, a collection and a key, and an array of ids of which one isn't there."""
+    e = engine(spark, sf_dir)
+    keyed(e, "nation", "n_nationkey")
+    keyed(e, "region", "r_regionkey")
+    return e.query("""
+        FOR s IN supplier LET ref = $"nation_docs/${s.s_nationkey}" LET n = DOCUMENT(ref) LET r = DOCUMENT("region_docs", TO_STRING(n.n_regionkey))
+        RETURN {k: s.s_suppkey, n: n.n_name, r: r.r_name, both: DOCUMENT(["nation_docs/none", ref])[*].n_name}""")
+
+
+@added("document_constant", "SELECT (SELECT n_name FROM nation WHERE n_nationkey = 3) AS a, (SELECT list(r_name ORDER BY r_regionkey) FROM region WHERE r_regionkey IN (1, 2)) AS b, true AS c")
+def document_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    keyed(e, "nation", "n_nationkey")
+    keyed(e, "region", "r_regionkey")
+    return e.query('RETURN {a: DOCUMENT("nation_docs/3").n_name, b: SORTED(DOCUMENT(["region_docs/2", "region_docs/1", "region_docs/77"])[*].r_name), c: DOCUMENT("nation_docs", "none") == null}')
+
+
+@added("sql_update_literals", """
+    SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_acctbal < 0 THEN 'no WHERE, here' ELSE c_mktsegment END AS s,
+           CASE WHEN c_acctbal < 0 THEN (SELECT max(c_acctbal) FROM customer WHERE c_acctbal < 1000) ELSE c_acctbal END AS b FROM customer""")
+def sql_update_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, writable=True)
+    e.sql("INSERT INTO people (k, s, b) SELECT CAST(c_custkey AS BIGINT), c_mktsegment, c_acctbal FROM customer")
+    e.sql("UPDATE people SET s = 'no WHERE, here', b = (SELECT max(c_acctbal) FROM customer WHERE c_acctbal < 1000) WHERE b < 0")
+    return e.sql("SELECT k, s, b FROM people")
+
+
 @added("sql_write", "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_regionkey = 2 THEN 'two' ELSE n_name END AS n FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 100, 'added'")
 def sql_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, writable=True)

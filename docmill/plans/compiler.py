@@ -16,6 +16,7 @@ from ..functions.values import (
     either, equal, field_of, materialised, predicate, storable, struct, text, truthy,
 )
 from ..lang import tree as t
+from ..sources.checkpoints import saved
 from .aggregates import NAMES, OVER_ARRAYS, aggregate, of_nothing
 
 HIDDEN = "__"
@@ -260,6 +261,54 @@ class Compiler:
         sub = t.Sub(t.Query((t.For(name, t.Var(collection)), t.Filter(test)), returns=t.Var(name)))
         return sub if many else t.Call("FIRST", (sub,))
 
+    def documents_hoisted(self, frame: Frame, e: t.Node) -> tuple[Frame, t.Node]:
+        """e with DOCUMENT calls on constants as subqueries, and those on values of rows as variables of the frame."""
+        state = [frame]
+
+        def change(n: t.Node) -> t.Node | None:
+            if not (isinstance(n, t.Call) and n.name == "DOCUMENT"):
+                return None
+            if not t.free_names(n.args[-1]):
+                return self.documents(n)
+            state[0], key = self.hoisted(state[0], n.args[-1])
+            collection = None if len(n.args) == 1 else str(self.plain(self.expr(n.args[0], {})))
+            state[0], name = self.attach_documents(state[0], self.expr(key, state[0].scope), collection)
+            return t.Var(name)
+
+        changed = t.rewrite(e, change)
+        return state[0], changed
+
+    def attach_documents(self, frame: Frame, ids: Value, collection: str | None) -> tuple[Frame, str]:
+        """A column with the document of each row's id, or of each of its ids; an array leaves out what isn't there.
+
+        Without a collection an id is `collection/key`. Ids are looked up once each: rows of the same id, or the same
+        array of ids, meet the same result.
+        """
+        from ..operators import graph
+
+        name, wanted = fresh("doc"), fresh("id")
+        if not (ids.is_text or ids.is_array):
+            return frame.having(**{name: constant(None)}), name
+        whole = (lambda c: c) if collection is None else lambda c: F.concat(F.lit(f"{collection}/"), c.cast("string"))
+        frame = replace(frame, df=frame.df.withColumn(wanted, ids.col))
+        asked = frame.df.select(wanted).where(F.col(wanted).isNotNull()).distinct()
+        if not ids.is_array:
+            found, type_ = graph.with_documents(self.catalog, asked.withColumn("__full", whole(F.col(wanted))), "__full", name, [collection] if collection else None)
+            df = frame.df.join(found.groupBy(wanted).agg(F.first(name).alias(name)), wanted, "left").drop(wanted)
+            return replace(frame, df=df, types=frame.types | {name: type_}), name
+        each = asked.select(wanted, F.posexplode(wanted).alias("__at", "__one")).withColumn("__full", whole(F.col("__one").cast("string")))
+        found, type_ = graph.with_documents(self.catalog, each, "__full", name, [collection] if collection else None)
+        ordered = F.array_sort(F.collect_list(F.struct("__at", F.col(name).alias("v"))), lambda a, b: a["__at"] - b["__at"])
+        lists = found.dropDuplicates([wanted, "__at"]).groupBy(wanted).agg(F.transform(ordered, lambda x: x["v"]).alias(name))
+        none = F.when(F.col(wanted).isNotNull(), F.array().cast(T.ArrayType(type_)))
+        df = frame.df.join(lists, wanted, "left").withColumn(name, F.coalesce(name, none)).drop(wanted)
+        return replace(frame, df=df, types=frame.types | {name: T.ArrayType(type_)}), name
+
+    def counted(self, e: t.Call) -> t.Node | None:
+        """COLLECTION_COUNT as a subquery, so that nothing is counted while compiling."""
+        name = str(self.plain(self.expr(e.args[0], {}))) if not t.free_names(e.args[0]) else None
+        return t.Call("LENGTH", (t.Sub(t.Query((t.For("__c", t.Var(name)),), returns=t.Lit(1))),)) if name and self.catalog.has(name) else None
+
     @staticmethod
     def crossed(frame: Frame, side: Frame, on: Column | None = None) -> Frame:
         if not frame.types and not frame.keys and not frame.started:
@@ -331,6 +380,7 @@ class Compiler:
             frame, e = self.hoisted(frame, e)
             keys[name] = materialised(self.expr(e, frame.scope))
         aggregates: dict[str, Value] = {}
+        kinds = ["LIST"] * bool(c.into) + ["ROWS"] * bool(c.count) + [NAMES.get(a.func, a.func) for a in c.aggregates]
         if c.into:
             row = struct({n: frame.value(n) for n in frame.types if not n.startswith(HIDDEN)})
             aggregates[c.into] = aggregate("LIST", row)
@@ -354,8 +404,15 @@ class Compiler:
         if group:
             return Frame(frame.df.groupBy(*group).agg(*made), types, frame.keys, True)
         some = fresh("rows")
-        df = frame.df.agg(*made, F.count(F.lit(1)).alias(some)).where(F.col(some) > 0).drop(some)
-        return Frame(df, types, (), True)
+        distinct = [v.col.alias(n) for (n, v), kind in zip(aggregates.items(), kinds, strict=True) if kind == "DISTINCT"]
+        if len(distinct) < 2:
+            distinct = []
+        # Several distinct counts in one aggregation would copy every row for each; alone each is a small pre-aggregation.
+        plain = [v.col.alias(n) for (n, v), kind in zip(aggregates.items(), kinds, strict=True) if not distinct or kind != "DISTINCT"]
+        df = frame.df.agg(*plain, F.count(F.lit(1)).alias(some)).where(F.col(some) > 0).drop(some)
+        for one in distinct:
+            df = df.crossJoin(frame.df.agg(one))
+        return Frame(df.select(*aggregates), types, (), True)
 
     # -- joins
 
@@ -449,16 +506,17 @@ class Compiler:
             firsts = lefts.groupBy(*dict.fromkeys(k.left for k in keys)).agg(F.min_by(row, order).alias("__left"))
             df = right.df.select(*(k.made.alias(k.right) for k in keys), name).join(firsts, [k.on for k in keys], "left")
         else:
-            lefts = frame.df.withColumn(order, F.monotonically_increasing_id())
-            numbered = right.df.withColumn(number, F.monotonically_increasing_id())
+            lefts = saved(frame.df.withColumn(order, F.monotonically_increasing_id()))
+            numbered = saved(right.df.withColumn(number, F.monotonically_increasing_id()))
             on = predicate(self.expr(c.on, frame.scope | right.scope, safe=True, filtering=True))
             df = numbered.join(lefts, on, "left").groupBy(number).agg(F.first(name).alias(name), F.min_by(F.when(F.col(order).isNotNull(), row), order).alias("__left"))
         return Frame(df.select(*(F.col("__left")[n].alias(n) for n in frame.types), name), frame.types | right.types, frame.keys, True)
 
     def theta_join(self, frame: Frame, c: t.Join, right: Frame) -> Frame:
-        """Any condition: rows are numbered, joined and grouped again."""
+        """Any condition: rows are numbered, joined and grouped again. The numbers are written, so that a task that runs
+        again can't give others."""
         name, number, hit = c.collection, fresh("row"), fresh("hit")
-        lefts = frame.df.withColumn(number, F.monotonically_increasing_id())
+        lefts = saved(frame.df.withColumn(number, F.monotonically_increasing_id()))
         side = right.df.withColumn(hit, F.lit(True))
         on = predicate(self.expr(c.on, frame.scope | right.scope, safe=True, filtering=True))
         joined = lefts.join(side, on, "inner" if c.kind == "INNER" else "left")
@@ -482,7 +540,9 @@ class Compiler:
         """e with its subqueries replaced by variables that the frame now has."""
         calls = {n.name for n in t.walk(e) if isinstance(n, t.Call)}
         if "DOCUMENT" in calls:
-            e = t.rewrite(e, lambda n: self.documents(n) if isinstance(n, t.Call) and n.name == "DOCUMENT" else None)
+            frame, e = self.documents_hoisted(frame, e)
+        if "COLLECTION_COUNT" in calls:
+            e = t.rewrite(e, lambda n: self.counted(n) if isinstance(n, t.Call) and n.name == "COLLECTION_COUNT" else None)
         if "VECTOR_INDEX_STATS" in calls:
             e = t.rewrite(e, lambda n: t.Call("FIRST", (t.Sub(t.Query((t.For("__s", n),), returns=t.Var("__s"))),)) if isinstance(n, t.Call) and n.name == "VECTOR_INDEX_STATS" else None)
         if calls & set(TABLE_FUNCTIONS):
@@ -558,6 +618,10 @@ class Compiler:
         """A column with a subquery's result: its rows as an array, or wrapper (SUM, LENGTH, FIRST ...) of them."""
         name = fresh("sub")
         if not self.correlated(frame, query):
+            if wrapper == "FIRST" and query.limit is None:
+                query = replace(query, limit=t.Lit(1), extra={})
+            elif wrapper is not None and query.limit is None and query.offset is None:
+                query = replace(query, sort=(), extra={})
             inner, returns = self.body(query, Frame(self.spark.range(1).select(), {}))
             inner, value = self.numbered(inner, query, returns, [])
             made = self.gathered(inner, value, wrapper)
@@ -638,7 +702,7 @@ class Compiler:
         first, *more = query.body
         if not (isinstance(first, t.For) and self.is_table(first.source, frame)) or not all(isinstance(c, (t.Filter, t.Let)) for c in more):
             raise QueryError("this subquery can't be taken apart; bind its parts with LET or join first")
-        outer = replace(frame, df=frame.df.withColumn(number, F.monotonically_increasing_id()))
+        outer = replace(frame, df=saved(frame.df.withColumn(number, F.monotonically_increasing_id())))
         side = document(self.catalog.table(first.source.name), first.var)
         scope, tests = frame.scope | side.scope, []
         for c in more:

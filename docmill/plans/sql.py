@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import QueryError
 from ..operators.mutations import merged, with_system_columns
+from ..sources.checkpoints import saved
 
 _WORD = re.compile(r"'(?:''|[^'])*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_]\w*")
 
@@ -50,36 +51,45 @@ def insert(engine, text: str, args: dict) -> DataFrame:
         rows = rows.toDF(*(c.strip().strip("`\"") for c in columns.split(",")))
     elif engine.catalog.has(name):
         rows = rows.toDF(*engine.catalog.table(name).columns[: len(rows.columns)])
-    new = engine.catalog.replace("__pending", with_system_columns(rows, name))
+    new = saved(with_system_columns(rows, name))
     engine.catalog.append(name, new) if not engine.catalog.has(name) else engine.catalog.replace(name, merged(engine.catalog.table(name), new))
     return new
 
 
-def split_where(rest: str) -> tuple[str, str | None]:
-    m = re.match(r"(.*?)(?:\bWHERE\b(.*))?$", rest, re.IGNORECASE | re.DOTALL)
-    return m[1].strip(), (m[2] or "").strip() or None
-
-
-def assignments(text: str) -> list[tuple[str, str]]:
-    """`a = 1, b = f(x, y)` at the outer level."""
-    parts, depth, start, quote = [], 0, 0, None
+def outside(text: str) -> list[tuple[int, str]]:
+    """(position, character) of what stands outside quotes and parentheses."""
+    out, depth, quote = [], 0, None
     for i, c in enumerate(text):
         if quote:
             quote = None if c == quote else quote
-        elif c in "'\"":
+        elif c in "'\"`":
             quote = c
         elif c in "()":
             depth += 1 if c == "(" else -1
-        elif c == "," and depth == 0:
-            parts.append(text[start:i])
-            start = i + 1
-    parts.append(text[start:])
+        elif depth == 0:
+            out.append((i, c))
+    return out
+
+
+def split_where(rest: str) -> tuple[str, str | None]:
+    """What stands before and after the statement's own WHERE, not one in a literal or a subquery."""
+    bare = [" "] * len(rest)
+    for i, c in outside(rest):
+        bare[i] = c
+    m = re.search(r"\bWHERE\b", "".join(bare), re.IGNORECASE)
+    return (rest.strip(), None) if m is None else (rest[: m.start()].strip(), rest[m.end() :].strip() or None)
+
+
+def assignments(text: str) -> list[tuple[str, str]]:
+    """`a = 1, b = f(x, y)` at the outer level."""
+    commas = [i for i, c in outside(text) if c == ","]
+    parts = [text[a + 1 : b] for a, b in zip([-1, *commas], [*commas, len(text)], strict=True)]
     return [(a.strip().strip("`"), b.strip()) for a, _, b in (p.partition("=") for p in parts)]
 
 
 def marked(engine, name: str, condition: str | None, args: dict, changes: list[tuple[str, str]]) -> DataFrame:
     """The table with __hit for the rows that the condition is true for, and the new values of the changed columns."""
-    engine.catalog.table(name).createOrReplaceTempView(name)
+    register(engine, f"`{name}` {condition or ''} {' '.join(value for _, value in changes)}")
     new = "".join(f", {value} AS `__new{i}`" for i, (_, value) in enumerate(changes))
     return engine.spark.sql(f"SELECT *, coalesce({condition or 'true'}, false) AS __hit{new} FROM `{name}`", args=args or None)
 
@@ -94,7 +104,7 @@ def update(engine, text: str, args: dict) -> DataFrame:
     for i, (column, _) in enumerate(changes):
         old = F.col(f"`{column}`") if column in rows.columns else F.lit(None)
         rows = rows.withColumn(column, F.when(F.col("__hit"), F.col(f"__new{i}")).otherwise(old))
-    done = engine.catalog.replace("__pending", rows.drop(*(f"__new{i}" for i in range(len(changes)))))
+    done = saved(rows.drop(*(f"__new{i}" for i in range(len(changes)))))
     engine.catalog.replace(m[1], done.drop("__hit"))
     return done.where("__hit").drop("__hit")
 
@@ -104,7 +114,7 @@ def delete(engine, text: str, args: dict) -> DataFrame:
     if m is None:
         raise QueryError("DELETE FROM table WHERE ...")
     _, condition = split_where(m[2])
-    done = engine.catalog.replace("__pending", marked(engine, m[1], condition, args, []))
+    done = saved(marked(engine, m[1], condition, args, []))
     engine.catalog.replace(m[1], done.where("NOT __hit").drop("__hit"))
     return done.where("__hit").drop("__hit")
 

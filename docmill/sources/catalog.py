@@ -31,6 +31,8 @@ class Catalog:
         self.loaders: dict[str, Callable[[], DataFrame]] = {}
         self.kinds: dict[str, str] = {}
         self.views: dict[str, str] = {}
+        #: Unique indexes by collection, as tuples of columns; writes that would break one fail.
+        self.unique: dict[str, list[tuple[str, ...]]] = {}
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, names: list[str], root: str | None = None) -> Catalog:

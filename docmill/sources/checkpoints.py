@@ -1,16 +1,36 @@
-"""Tables that cut lineage, in the shared checkpoint folder."""
+"""Tables that cut lineage, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder that the session names. Where it names none, a local one on a single machine, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir() + "/docmill-checkpoints"
+    return root.rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept where all executors can read it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/docmill-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """df computed once and kept where all executors can read it; its size is known to later plans."""
+    spark, schema = df.sparkSession, df.schema
+    path = own_folder(spark, "saved")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -216,3 +216,56 @@ def test_fulltext_query_has_no_limit(spark):
     assert "Limit" not in plan
     many = spark.range(150).selectExpr("id", "'some thing' AS text")
     assert search.fulltext(many, "text", "thing", limit=None).count() == 150 and search.fulltext(many, "text", "thing", limit=7).count() == 7
+
+
+def test_upsert_follows_rows_of_a_key_and_keeps_rows_without_one(spark):
+    e = filled(spark)
+    e.catalog.add("src", spark.createDataFrame([(None, "u"), (None, "v"), ("u1", "w"), ("u1", "x"), ("n1", "y"), ("n1", "z")], "k string, n string"))
+    e.catalog.replace("people2", e.catalog.table("users").select("_key", "name"))
+    counts = e.query("FOR s IN src UPSERT s.k INSERT {_key: s.k, name: s.n} UPDATE {name: CONCAT(s.n, s.n)} IN people2").first()
+    assert (counts.inserted, counts.updated) == (3, 3)
+    got = bag(rows(e, "FOR p IN people2 RETURN {k: p._key IN ['u1', 'u2', 'u3', 'u4', 'n1'] ? p._key : 'made', n: p.name}"))
+    assert got == bag([("u1", "xx"), ("u2", "Bob"), ("u3", "Cyd"), ("u4", None), ("n1", "zz"), ("made", "u"), ("made", "v")])
+
+
+def test_upsert_with_subqueries(spark):
+    e = filled(spark)
+    e.catalog.replace("totals", spark.createDataFrame([("u1", 0.0)], "_key string, t double"))
+    e.query("FOR u IN users UPSERT {_key: u._key} INSERT {_key: u._key, t: SUM((FOR o IN orders FILTER o.user_key == u._key RETURN o.total))} UPDATE {t: LENGTH((FOR o IN orders FILTER o.user_key == u._key RETURN o))} IN totals")
+    assert bag(rows(e, "FOR t IN totals RETURN {k: t._key, t: t.t}")) == [("u1", 2.0), ("u2", 0.0), ("u3", 0.0), ("u4", 0.0)]
+
+
+def test_documents_by_ids_of_rows(spark):
+    e = filled(spark)
+    assert bag(rows(e, "FOR k IN knows LET d = DOCUMENT(k._to) RETURN {s: k.since, n: d.name}")) == bag([(1, "Bob"), (2, "Carol"), (3, "Diana"), (4, "Alice"), (5, "Eve"), (6, None), (7, "Bob")])
+    assert bag(rows(e, 'FOR o IN orders RETURN {k: o._key, n: DOCUMENT("users", o.user_key).name}')) == bag([("o1", "Ann"), ("o2", "Ann"), ("o3", None), ("o4", None)])
+    got = rows(e, 'FOR k IN knows FILTER k.since == 6 LET d = DOCUMENT([k._from, k._to, "people/bob", k._from]) RETURN d[*].name')
+    assert got == [["Eve", "Bob", "Eve"]]
+    assert rows(e, 'FOR o IN orders FILTER o.total > 15 RETURN DOCUMENT("users", [o.user_key, "u3", "zz"])[*].name') == [["Ann", "Cyd"]]
+
+
+def test_unique_indexes_hold_at_every_write(spark):
+    e = filled(spark)
+    e.catalog.replace("mails", spark.createDataFrame([("a", "x"), ("b", None)], "_key string, mail string"))
+    e.catalog.unique["mails"] = [("mail",)]
+    e.query('INSERT {_key: "c", mail: null} INTO mails')
+    for text in ('INSERT {_key: "d", mail: "x"} INTO mails', 'UPDATE "b" WITH {mail: "x"} IN mails', 'UPSERT "q" INSERT {mail: "x"} UPDATE {mail: "y"} IN mails', "FOR i IN 1..2 INSERT {_key: TO_STRING(i), mail: 'twice'} INTO mails"):
+        with pytest.raises(QueryError, match="unique"):
+            e.query(text)
+    e.query('UPDATE "a" WITH {mail: "x"} IN mails')
+    assert bag(rows(e, "FOR m IN mails RETURN {k: m._key, m: m.mail}")) == [("a", "x"), ("b", None), ("c", None)]
+
+
+def test_where_in_literals_and_subqueries_of_sql_updates(spark):
+    e = filled(spark)
+    e.catalog.replace("t", spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "_key string, n int, s string"))
+    e.sql("UPDATE t SET s = 'no WHERE, here', n = (SELECT max(n) FROM t WHERE n < 9) WHERE _key = 'a'")
+    e.sql("DELETE FROM t WHERE s = 'WHERE'")
+    assert bag([tuple(r) for r in e.sql("SELECT _key, n, s FROM t").collect()]) == [("a", 2, "no WHERE, here"), ("b", 2, "y")]
+
+
+def test_several_distinct_counts_of_all_rows_need_no_copies(spark):
+    e = filled(spark)
+    df = e.query("FOR s IN sales COLLECT AGGREGATE r = COUNT_DISTINCT(s.region), d = COUNT_DISTINCT(s.day), n = SUM(s.amount) RETURN {r, d, n}")
+    assert [tuple(r) for r in df.collect()] == [(2, 3, 60.0)] and "Expand" not in df._jdf.queryExecution().toString()
+    assert rows(e, "FOR s IN empty COLLECT AGGREGATE r = COUNT_DISTINCT(s.x), d = COUNT_DISTINCT(s._key) RETURN {r, d}") == []
