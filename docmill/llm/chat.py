@@ -65,7 +65,7 @@ class Fold:
         self.role: str | None = None
         self.parts: list[str] | None = None
 
-    def take(self, turn: int | None, seq: int | None, kind: str, role: str | None, text: str | None) -> Iterator[tuple[str, str]]:
+    def take(self, turn: int | None, seq: int | None, kind: str | None, role: str | None, text: str | None) -> Iterator[tuple[str, str]]:
         if turn != self.turn:
             yield from self.done()
             self.turn = turn
@@ -73,6 +73,9 @@ class Fold:
         at = -1 if seq is None else seq
         if at < self.cut:
             return
+        kind = "message" if kind is None else kind
+        if kind not in KINDS:
+            raise ValueError(f"unknown event kind {kind!r}")
         if kind == "regenerate":
             self.held.clear()
             self.parts = None
@@ -86,10 +89,8 @@ class Fold:
             self.role, self.parts = role, [text or ""]
         elif kind == "delta":
             self.parts.append(text or "")
-        elif kind == "edit":
-            self.parts = [text or ""]
         else:
-            raise ValueError(f"unknown event kind {kind!r}")
+            self.parts = [text or ""]
 
     def done(self) -> Iterator[tuple[str, str]]:
         yield from self.held
@@ -106,11 +107,12 @@ def format_conversations(events: DataFrame, loss_roles: tuple[str, ...] = ("assi
     The log is partitioned by conversation and sorted by turn and sequence, equal ones by kind, role and text; the sort
     spills, and the fold holds one turn, so that a conversation of any length streams through.
 
-    Null texts are empty, null roles are empty names, null turns and sequences come first, a null conv_id is a
-    conversation of its own. Repeated message rows are turns of their own. Empty table: no rows.
+    Null texts are empty, null roles are empty names, null kinds are messages, null turns and sequences come first, a
+    null conv_id is a conversation of its own. Repeated message rows are turns of their own. Empty table: no rows. A kind
+    of event that isn't known raises an error, since what it did to the conversation can't be told.
     """
     order = ["conv_id", "turn", "seq", "rank", "role", "text"]
-    rank = F.array_position(F.lit(list(KINDS)), F.col("kind"))
+    rank = F.array_position(F.lit(list(KINDS)), F.coalesce("kind", F.lit("message")))
     names = [x.split()[0] for x in TURNS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 

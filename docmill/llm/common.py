@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +9,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.sources.checkpoints import own_folder
+
 #: Multipliers of the 64-bit mixers; any odd constants with scattered bits would do.
 MIX_A, MIX_B, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.gettempdir() + "/docmill-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Workspace:
-    """Intermediate tables in the shared checkpoint folder, so that no step depends on the executors that made it."""
+    """Intermediate tables in the shared checkpoint folder, so that no step depends on the executors that made it.
+
+    What a result still reads stays until the driver's JVM ends; all else goes as soon as keep() is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, own_folder(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -59,6 +53,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it where df has such a column already (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import pick
+from .common import free_name, pick
 
 ROUNDS = 8
 _DAY0, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
@@ -210,7 +212,7 @@ _B, _E = r"(?<![\w.@+\-])", r"(?![\w\-]|\.\d)"
 _BEGIN, _END, _GROUP = re.compile(_B, re.ASCII), re.compile(_E, re.ASCII), re.compile(r"\d+", re.ASCII)
 #: What is looked for, in the order in which overlapping finds win; each find is validated before it is changed.
 KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
-    "email": (r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}", _email),
+    "email": (r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}", _email),
     "secret": (r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)(?:sk|pk|gh[pousr]|xox[abprs])[-_][A-Za-z0-9_\-]{16,}|(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?)(?=[A-Za-z_\-]*\d)[A-Za-z0-9_\-]{8,}", _secret),
     "iban": (_B + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)", _iban),
     "date": (_B + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})" + _E, _date),
@@ -231,18 +233,22 @@ class Pseudonymiser:
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of what is found, in order and without overlaps."""
-        found: list[tuple[int, int, str, str]] = []
+        found: list[tuple[int, int, str, str]] = []  # in order
         if not _CHANCE.search(text):
             return found
-        free = lambda start, end: all(end <= a or b <= start for a, b, _, _ in found)
+
+        def free(start: int, end: int) -> bool:
+            i = bisect(found, (start,))
+            return (i == 0 or found[i - 1][1] <= start) and (i == len(found) or end <= found[i][0])
+
         for kind, pattern, change in self.patterns:
             for m in pattern.finditer(text):
                 if kind == "card":
                     for a, b, new in _cards(self.feistel, text, m.span(), free):
-                        found.append((a, b, kind, new))
+                        insort(found, (a, b, kind, new))
                 elif free(m.start(), m.end()) and (new := change(self.feistel, m[0])) is not None:
-                    found.append((m.start(), m.end(), kind, new))
-        return sorted(found)
+                    insort(found, (m.start(), m.end(), kind, new))
+        return found
 
     def __call__(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         spans, out, at = self.spans(text), [], 0
@@ -252,17 +258,24 @@ class Pseudonymiser:
         return ("".join([*out, text[at:]]) if spans else text), spans
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's spark.docmill.pii.secretKey; without one a fresh key, under which values stay linked within this
+    call's result and which nobody has afterwards. Whoever has a key can undo its pseudonyms: it belongs in no source."""
+    return spark.conf.get("spark.docmill.pii.secretKey", None) or secrets.token_hex(32)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with private data in text_col replaced; all other columns as they are, plus `pii` spans of the old text.
 
     pii: array of (start, end, kind) in code points, in order. A value that passes its kind's checks (Luhn, IBAN check
-    digits, calendar, number plan, octets) is permuted among the values that pass them, in its own punctuation.
+    digits, calendar, number plan, octets) is permuted among the values that pass them, in its own punctuation. A
+    permutation may leave a value where it is, at odds of one to the number of values of its format.
     Narrow map: no shuffle, a row at a time. Null texts stay null with pii null; empty texts stay empty with pii empty.
-    A column that is itself called pii is replaced.
+    Where docs has a column pii, ours is called pii_.
     """
-    docs = docs.drop("pii")
+    name = free_name(docs, "pii")
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
-    schema = StructType([*docs.schema.fields, StructField("pii", ArrayType(span))])
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(span))])
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +285,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             done = [(None, None) if t is None else change(t) for t in batch.column(at).to_pylist()]
             spans = pa.array([None if s is None else [{"start": a, "end": b, "kind": k} for a, b, k, _ in s] for _, s in done], kinds)
             columns = [pa.array([t for t, _ in done], pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, spans], [*batch.schema.names, "pii"])
+            yield pa.RecordBatch.from_arrays([*columns, spans], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

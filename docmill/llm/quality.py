@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mixed, pick
+from .common import free_name, mixed, pick
 
 #: At most so many labelled rows are kept as neighbours; they are those of smallest hashed id.
 MOST_LABELLED = 4000
@@ -121,17 +121,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs (all columns) with score, 0 to 1. The model has a fixed size: it travels with the task.
 
-    Null and empty texts are scored as texts without words. A column that is itself called score is replaced.
+    Null texts and texts without words score 0: they hold nothing to be good. Where docs has a column score, ours is called score_.
     """
-    docs = docs.drop("score")
+    name = free_name(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, len(batch), 512)):
-                rows = np.array([terms(t.as_py()) for t in part.column(text_col)], np.float32).reshape(-1, TERMS)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(rows))], [*part.schema.names, "score"])
+                texts = part.column(text_col).to_pylist()
+                rows = np.array([terms(t) for t in texts], np.float32).reshape(-1, TERMS)
+                scores = np.where([bool(t and t.split()) for t in texts], model.scores(rows), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -142,8 +144,8 @@ def held_out(doc_id: str = "doc_id"):
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Learns from the labels outside the held-out fold only.
 
-    Null ids: scored, not held out, never learned from. Conflicting labels of an id: the smaller one. Without labels
-    every score is 0.5.
+    Null ids: scored, not held out, never learned from. Conflicting labels of an id: the smaller one. Texts without
+    words score 0; without labels all others score 0.5.
     """
     marked = pick(labels, doc_id=id_col, label=label_col).withColumn("label", F.col("label").cast("int"))
     slim = pick(docs, doc_id=id_col, text=text_col)

@@ -45,12 +45,9 @@ def op6_nbest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
 
 
-PII_KEY = "docmill"
-
-
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the whole text with pseudonyms, and how many spans of each kind were replaced."""
-    out = pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+    out = pii.digest(table(spark, sf_dir, "documents"), pii.key_of(spark))
     return out.select("doc_id", "text", F.coalesce(F.size("pii"), F.lit(0)).cast("long").alias("n_replaced"), "pii")
 
 
@@ -147,7 +144,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
             WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(host || path, '(^|[^0-9a-z])(adult|bets|casino|porn|xxx)([^0-9a-z]|$)') THEN 'block'
+            WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '(^|[^0-9a-z])(adult|bets|casino|porn|xxx)([^0-9a-z]|$)') THEN 'block'
             ELSE 'allow' END AS verdict
         FROM ruled""",
 }

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, pick
 
-#: Slices by hash of each size class of a shard; what the driver plans with is shards x classes x slices sums at most.
-SLICES, CLASSES = 16, 32
+#: Slices by hash of each size class of a shard, as many more as hold so many rows each; what the driver plans with is
+#: a sum per shard, class and slice.
+SLICES, CLASSES, SLICE_ROWS = 16, 32, 1 << 20
 OVERHEAD = 16
 
 
@@ -75,9 +76,11 @@ def reshard(
 
     old_shard is a SQL expression of a row's present shard; by default shards are by a hash of the id.
     Rows of a shard are ordered by size class from large to small, then by slice; the first bytes stay and the last
-    ones, which are small rows, move. The driver sees only the sums of (shard, class, slice) blocks, whose number
-    doesn't grow with the rows of a block. A row goes where its middle byte lies in the plan.
+    ones, which are small rows, move. The driver sees only the sums of (shard, class, slice) blocks, one per SLICE_ROWS
+    rows or fewer. A row goes where its middle byte lies in the plan.
     slot is a row's place in its new shard, from 0 without gaps. occurrence tells equal rows apart.
+    The law is that of bytes alone: rows of equal texts are placed each on its own, since keeping a group of a third of
+    all rows together would leave no shards of near equal size.
 
     Null text: no bytes. Null ids are hashed like a value. Empty table: no rows.
     """
@@ -90,10 +93,9 @@ def reshard(
         rows = rows.withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(old_shards)).cast("int"))
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD
-    sized = rows.select("doc_id", "old", size.alias("size"), F.crc32(text).alias("crc"))
-    sized = work.save(
-        sized.withColumns({"class": CLASSES * 2 - F.length(F.bin("size")), "slice": F.pmod(F.xxhash64("doc_id", "crc"), F.lit(SLICES)).cast("int")}), "sized"
-    )
+    sized = work.save(rows.select("doc_id", "old", size.alias("size"), F.crc32(text).alias("crc")), "sized")
+    slices = max(SLICES, -(-sized.count() // (old_shards * SLICE_ROWS)))
+    sized = sized.withColumns({"class": CLASSES * 2 - F.length(F.bin("size")), "slice": F.pmod(F.xxhash64("doc_id", "crc"), F.lit(slices)).cast("int")})
     blocks = sorted(tuple(r) for r in sized.groupBy("old", "class", "slice").agg(F.sum("size"), F.count(F.lit(1))).collect())
     sizes = [0] * old_shards
     base = []

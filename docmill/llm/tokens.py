@@ -20,29 +20,37 @@ def _byte_of() -> dict[str, int]:
 
 
 class ByteLevelTokenizer:
-    """Ids of a byte-level BPE file of `tokenizers`; strings of special tokens inside a text are ordinary text.
+    """Ids of a byte-level BPE file as `tokenizers` gives them with add_special_tokens=False.
 
-    The file's merges are in id order, so the ids follow from its vocabulary used as ranks. tiktoken does that about
-    five times faster than `tokenizers`; what it can't split (texts whose runs exhaust its stack) goes to `tokenizers`.
+    Strings of special tokens inside a text get the special ids; with plain_specials they are ordinary text. The file's
+    merges are in id order, so the ids follow from its vocabulary used as ranks. tiktoken does that about five times
+    faster than `tokenizers`; what it can't split (texts whose runs exhaust its stack) goes to `tokenizers`, as do all
+    texts if a special token takes in spaces beside it or stands for whole words only.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         added = {t["content"] for t in model["added_tokens"]}
+        self.plain_specials = plain_specials
+        self.simple = plain_specials or not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in model["added_tokens"])
         byte = _byte_of()
         self.bytes = {i: bytes(byte[c] for c in t) for t, i in model["model"]["vocab"].items() if t not in added}
-        self.fast = tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
+        specials = {} if plain_specials else {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.fast = tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens=specials)
+        self.bytes |= {i: c.encode() for c, i in specials.items()}
         self.path, self.slow = path, None
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            if self.simple:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
         except (ValueError, UnicodeError):
-            if self.slow is None:
-                self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            return np.array(self.slow.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, np.uint32)
+            pass
+        if self.slow is None:
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = self.plain_specials
+        return np.array(self.slow.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, np.uint32)
 
     def ends_sentence(self) -> np.ndarray:
         """By id: whether a sentence may end after this token."""

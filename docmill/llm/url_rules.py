@@ -20,25 +20,37 @@ SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression over `host + path`; literals are tokens that every URL it fits contains."""
+    """A regular expression over `host + path`, with A-Z lower-cased first where fold is set; literals are lower-case
+    tokens that every URL it fits contains, lower-cased."""
 
     name: str
     verdict: str
     pattern: str
     literals: tuple[str, ...]
     rank: int
+    fold: bool = False
 
     @classmethod
     def site(cls, verdict: str, name: str) -> Rule:
         """`host/path`: the host and all its subdomains, where the path starts with the rule's; longer names win."""
         host, slash, path = name.partition("/")
-        whole = [*_TOKEN.findall(host), *_TOKEN.findall(path)[: None if path.endswith("/") else -1]]
+        whole = [*_TOKEN.findall(lowered(host)), *_TOKEN.findall(lowered(path))[: None if path.endswith("/") else -1]]
         return cls(name, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(whole), 1_000_000 + len(name))
 
     @classmethod
     def word(cls, verdict: str, word: str) -> Rule:
-        """A word anywhere in host or path, between characters that aren't letters or digits; any site rule wins over it."""
-        return cls("", verdict, rf"(?:^|[^0-9a-z]){re.escape(word)}(?![0-9a-z])", tuple(_TOKEN.findall(word)), len(word))
+        """A word, in either case, anywhere in host or path, between characters that aren't letters or digits; any site
+        rule wins over it, then the longer word, then a block."""
+        word = lowered(word)
+        return cls("", verdict, rf"(?:^|[^0-9a-z]){re.escape(word)}(?![0-9a-z])", tuple(_TOKEN.findall(word)), len(word), True)
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def lowered(text: str) -> str:
+    """A-Z to a-z, nothing else."""
+    return text.translate(_LOWER)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -47,7 +59,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     if not sep:
         return "", ""
     m = re.match(r"([^/?#]*)([^?#]*)", rest)
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
+    return lowered(m[1]), m[2]
 
 
 class RuleIndex:
@@ -66,15 +78,16 @@ class RuleIndex:
                 self.always.append(r)
         self.compiled: dict[str, re.Pattern] = {}
 
-    def fits(self, rule: Rule, text: str) -> bool:
+    def fits(self, rule: Rule, text: str, folded: str) -> bool:
         if (p := self.compiled.get(rule.pattern)) is None:
             p = self.compiled[rule.pattern] = re.compile(rule.pattern)
-        return p.search(text) is not None
+        return p.search(folded if rule.fold else text) is not None
 
     def best(self, host: str, path: str) -> Rule | None:
-        text = host + path
-        tried = [*self.always, *(r for t in set(_TOKEN.findall(text)) for r in self.by_token.get(t, ()))]
-        return max((r for r in tried if self.fits(r, text)), key=lambda r: (r.rank, r.name), default=None)
+        """The rule of highest rank that fits; of equal ones a block, then the one of greatest name and pattern."""
+        text, folded = host + path, host + lowered(path)
+        tried = [*self.always, *(r for t in set(_TOKEN.findall(folded)) for r in self.by_token.get(t, ()))]
+        return max((r for r in tried if self.fits(r, text, folded)), key=lambda r: (r.rank, r.verdict == "block", r.name, r.pattern), default=None)
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -68,3 +68,9 @@ def test_events_fold_in_sequence(spark, events, messages):
 
 def test_empty_log(spark):
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], EVENTS))).collect() == []
+
+
+def test_null_kinds_are_messages_and_unknown_ones_raise(spark):
+    assert folded(spark, [(0, 0, None, "user", "q"), (0, 1, None, "user", "r"), (1, 2, "delta", "assistant", "a")]) == [("user", "q"), ("user", "r"), ("assistant", "a")]
+    with pytest.raises(Exception, match="unknown event kind"):
+        folded(spark, [(0, 0, "shout", "user", "q")])

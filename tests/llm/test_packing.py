@@ -15,7 +15,6 @@ from .helpers import docs, words
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 FAST = ByteLevelTokenizer(PATH)
 SLOW = Tokenizer.from_file(PATH)
-SLOW.encode_special_tokens = True
 
 
 @settings(max_examples=150, deadline=None)
@@ -25,10 +24,18 @@ def test_ids_are_those_of_tokenizers(text):
 
 
 def test_ids_of_odd_texts():
-    for text in ("", " " * 5000, "<|endoftext|> x", "don't  \n\n\t", "日本語 é x", "a" * 9000):
+    for text in ("", " " * 5000, "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|>" * 3, "é<|endoftext|>\n<|endo", "don't  \n\n\t", "日本語 é x", "a" * 9000):
         assert FAST(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_can_stay_text():
+    plain, by_library = ByteLevelTokenizer(PATH, plain_specials=True), Tokenizer.from_file(PATH)
+    by_library.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x"):
+        assert plain(text).tolist() == by_library.encode(text, add_special_tokens=False).ids
+        assert 50256 in FAST(text) and FAST(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
+
+
 def cost(cuts, penalties, length):
     """Shorter powers of two are free at document ends (penalty 0) and at the very end."""
     sizes = np.diff([0, *cuts]).tolist()

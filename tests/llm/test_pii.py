@@ -99,10 +99,39 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, "x 42.144.35.254"), (3, "x 42.144.35.254"), (None, "clean"), (4, "y " * 50_000 + "bo.42@mail8.example.com")]
     df = docs(spark, rows, clash=True)
     out = pseudonymise(df, "key")
-    assert out.columns == [c for c in df.columns if c != "pii"] + ["pii"]
+    assert out.columns == [*df.columns, "pii_"]
     got = out.collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     of = {r.doc_id: r for r in got}
-    assert of[1].text is None and of[1].pii is None and of[2].text == "" and of[2].pii == [] and of[None].text == "clean"
-    assert of[3].text.startswith("x ") and of[3].text != rows[2][1] and [(p.start, p.end, p.kind) for p in of[4].pii] == [(100_000, 100_023, "email")]
+    assert of[1].text is None and of[1]["pii_"] is None and of[2].text == "" and of[2]["pii_"] == [] and of[None].text == "clean"
+    assert of[3].text.startswith("x ") and of[3].text != rows[2][1] and [(p.start, p.end, p.kind) for p in of[4]["pii_"]] == [(100_000, 100_023, "email")]
     assert pseudonymise(df.limit(0), "key").collect() == []
+
+
+def test_query_changes_planted_values_and_nothing_else(spark, tmp_path):
+    """Held against values planted at known places, without the finder: the texts around stay, equal values stay equal
+    and different ones different, in every document, and two runs without a key have different keys."""
+    from docmill.llm import queries
+
+    values = ["bo.42@mail8.example.com", "4111 1111 1111 1111", "123-45-6789", "+1 (017) 555-7713", "233.254.104.120", "2024-02-29", "x" * 80 + "1@example.org", "DE89 3704 0044 0532 0130 00"]
+    planted = [(i, [values[(i + k) % len(values)] for k in range(3)]) for i in range(16)]
+    texts = [(i, "Ask " + " or ".join(v) + " today, page 12 of 3.14.") for i, v in planted] + [(90, "nothing to hide, room 7"), (91, None), (92, ""), (93, " ".join(f"{values[2]} and" for _ in range(3000)))]
+    docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    first, second = ({r.doc_id: r for r in queries.op7_pii(spark, f"file://{tmp_path}").collect()} for _ in range(2))
+    became = {}
+    for i, v in planted:
+        middle = re.fullmatch(r"Ask (.*) today, page 12 of 3\.14\.", first[i].text)[1].split(" or ")
+        assert first[i].n_replaced == 3 and [(s.start, s.end) for s in first[i].pii] == [(m.start(), m.end()) for m in re.finditer("|".join(map(re.escape, v)), dict(texts)[i])]
+        for old, new in zip(v, middle, strict=True):
+            assert became.setdefault(old, new) == new != old and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", old))) or old.count(".") == 3
+    assert len(set(became.values())) == len(values)
+    assert (first[90].text, first[91].text, first[92].text) == ("nothing to hide, room 7", None, "")
+    assert set(first[93].text.split(" and")) == {became[values[2]], " " + became[values[2]], ""} and first[93].n_replaced == 3000
+    assert second[0].text != first[0].text
+
+
+def test_a_column_called_pii_stays(spark):
+    from pyspark.sql import functions as F
+
+    out = pseudonymise(docs(spark, [(1, "123-45-6789")]).withColumn("pii", F.lit("own")), "k").first()
+    assert out.pii == "own" and len(out["pii_"]) == 1

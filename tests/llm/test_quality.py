@@ -44,7 +44,7 @@ def test_nulls_empties_repeats_long_texts_and_no_labels(spark):
     out = quality.classify(docs(spark, rows), some).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     none = quality.classify(docs(spark, rows), some.limit(0)).collect()
-    assert {(r.score, r.predicted) for r in none} == {(0.5, 1)}
+    assert {(r.doc_id, r.score, r.predicted) for r in none} == {(1, 0.0, 0), (2, 0.0, 0), (None, 0.5, 1), (3, 0.5, 1)}
     assert quality.classify(docs(spark, []), some).collect() == []
 
 

@@ -88,5 +88,30 @@ def test_query_returns_documents_of_shards_that_keep_their_rows(spark, tmp_path)
         assert slots == list(range(len(slots)))
 
 
+SKEWED = {
+    "one large, two small": [100_000, 1, 2],
+    "twenty unequal": [3**k % 7919 for k in range(20)],
+    "even": [50] * 120,
+    "a third equal": [7] * 40 + list(range(80)),
+    "one": [5],
+}
+
+
+@pytest.mark.parametrize("name", list(SKEWED))
+def test_query_places_every_document_of_small_and_skewed_tables(spark, tmp_path, name):
+    rows = [(i, None if n == 50 and i % 9 == 0 else "é" + "x" * n) for i, n in enumerate(SKEWED[name])]
+    docs(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = queries.op8_reshard(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in out) == [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows]
+    loads = [0] * 40
+    for r in out:
+        loads[r.shard] += r.size
+    assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 40 for r in out)
+    assert max(loads) - sum(loads) / 40 <= max(r.size for r in out)  # a row's middle byte decides, so that a shard has half a row too much at either end
+    for k in range(40):
+        slots = sorted(r.slot for r in out if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_empty_table(spark):
     assert shards.reshard(docs(spark, []), 3, 4).collect() == []

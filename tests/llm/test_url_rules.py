@@ -7,7 +7,7 @@ from docmill.llm.url_rules import MOST_RULES, Rule, RuleIndex, judge, split_url
 URLS = [
     "http://a.example.net/en/1", "http://EXAMPLE.net/en/", "http://example.net/de/1", "http://net/x", "http://net", "http://x.internet/", "https://example.com/de/1?q=/fr/",
     "https://example.com/den", "https://m.example.org/fr/2#top", "ftp://org/fr/", "https://org/f", "no scheme", "", None, "http://example.net:80/en/", "http://free-bets.example.com/en/1",
-    "http://a.example.com/de", "https://xn.example.com/DE/1", "://example.net/en/x", "http://ÉX.net/é", "http:///path", "http://alphabets.example.com/",
+    "http://a.example.com/de", "https://xn.example.com/DE/1", "://example.net/en/x", "http://ÉX.net/é", "http:///path", "http://alphabets.example.com/", "http://a.com/Casino/x", "http://a.com/myCASINO", "http://a.com/ADULT",
 ]
 SITES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -25,7 +25,7 @@ def brute(url):
             best = (rule, verdict)
     if best:
         return host, path, *best
-    bad = any(re.search(rf"(?<![0-9a-z]){w}(?![0-9a-z])", host + path) for w in queries.BLOCKED_WORDS)
+    bad = any(re.search(rf"(?<![0-9a-zA-Z]){w}(?![0-9a-zA-Z])", host + path, re.IGNORECASE | re.ASCII) for w in queries.BLOCKED_WORDS)
     return host, path, None, "block" if bad else "allow"
 
 
@@ -47,6 +47,12 @@ def test_only_rules_of_present_tokens_run():
     assert set(index.compiled) == {"^q"}
 
 
+def test_equal_word_rules_block():
+    for rules in ([("block", "adult"), ("allow", "birds")], [("allow", "birds"), ("block", "adult")], [("block", "birds"), ("allow", "adult")]):
+        index = RuleIndex([Rule.word(v, w) for v, w in rules])
+        assert index.best("x.com", "/adult/birds").verdict == "block"
+
+
 def test_rules_have_a_bound():
     with pytest.raises(ValueError):
         RuleIndex([Rule.word("block", "a")] * (MOST_RULES + 1))
