@@ -12,11 +12,15 @@ from docmill.llm import near_dedup, packing, pii, quality
 from docmill.llm.common import Workspace, pick, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PII_KEY = "docmill"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose votes for good quality are at least half."""
+    """Documents whose votes for good quality are at least half.
+
+    Null texts and texts without words go. Repeated rows get the same score and stay or go together. Without labels all
+    documents with words stay, with a score of 0.5.
+    """
+    docs = docs.select(*COLUMNS)
     labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", label="quality").withColumn("label", F.col("label").cast("int"))
     model = quality.fit(pick(docs, doc_id="doc_id", text="text"), labels.where(~quality.held_out()))
     return quality.score(docs, model).where("score >= 0.5").select(*COLUMNS)
@@ -32,13 +36,17 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms, and their new lengths."""
-    out = pii.pseudonymise(docs, PII_KEY)
+    """Texts with pseudonyms, and their new lengths. Null and empty texts, and all rows' other columns, stay as they are.
+
+    The key is the session's spark.docmill.pii.secretKey, or a fresh one for the run.
+    """
+    out = pii.pseudonymise(docs.select(*COLUMNS), pii.key_of(spark))
     return out.withColumn("n_chars", F.when(F.col("pii").isNull() | (F.size("pii") == 0), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids, in sequences of 1024 tokens."""
+    """Pieces of documents, with their ids, in sequences of 1024 tokens. A null or empty text gives its end token alone;
+    each of repeated rows is packed."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
