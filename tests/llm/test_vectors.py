@@ -88,10 +88,37 @@ def test_multi_index_recall_and_scores(spark, monkeypatch):
     assert len(got) == 100 and hit >= 0.9 * 2000
 
 
+def test_multi_index_reads_every_cell_on_demand_and_ranks_copies_by_id(spark):
+    x = clustered(3000, 15, 8)
+    x[100:1100] = x[100]  # a third of all rows are copies
+    d = x.astype(np.float64)
+    got = by_query(multi_index.search(table(spark, list(x)), "vec_id % 60 = 0", k=20, share=1.0))
+    for q, rows in got.items():
+        s = np.einsum("ij,j->i", d, d[q])
+        assert [i for i, _ in rows] == [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+
+
+@pytest.mark.parametrize("near", [0.0, 0.02])
+def test_multi_index_recall_beside_a_hot_group(spark, near, monkeypatch):
+    r = np.random.default_rng(4)
+    x = clustered(6000, 16, 9)
+    hot = r.choice(6000, 2000, replace=False)
+    x[hot] = x[hot[0]] + near * r.normal(size=(2000, 16)).astype(np.float32)
+    got, d, hit = by_query(multi_index.search(table(spark, list(x)), "vec_id % 60 = 0", k=20)), x.astype(np.float64), 0
+    for q, rows in got.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        hit += sum(score >= np.sort(s)[-20] - 1e-12 for _, score in rows)
+    assert len(got) == 100 and hit >= 0.9 * 2000
+
+
 def test_multi_index_small_odd_and_empty_tables(spark):
     good = [[1.0, 2, 3, 4, 5, 6, 7, 8]] * 4 + [[1.0, 0, 0, 0, 0, 0, 0, 0]]
     got = by_query(multi_index.search(table(spark, good + ODD), "vec_id % 2 = 0", k=20))
     assert {q: [i for i, _ in rows] for q, rows in got.items()} == {0: [1, 2, 3, 4], 2: [0, 1, 3, 4], 4: [0, 1, 2, 3]}
+    short = [[1.0, 2.0, 3.0], [0.5, 0.5, 0.5], [7.0], [2.0], [-1.0]]  # other lengths have their own index
+    got = by_query(multi_index.search(table(spark, good + short), "vec_id in (0, 5, 7)", k=20))
+    assert {q: rows for q, rows in got.items() if q} == {5: [(6, 3.0)], 7: [(8, 14.0), (9, -7.0)]} and [i for i, _ in got[0]] == [1, 2, 3, 4]
     assert multi_index.search(table(spark, ODD[:4]), "true").collect() == []
 
 
@@ -109,7 +136,7 @@ def test_heap_visits_exactly_the_cells_within_reach():
             held, last = held + counts[c], d
             if held >= need:
                 break
-        assert reach == pytest.approx(last)
+        assert reach == (pytest.approx(last) if held >= need else np.inf)
 
 
 def test_components_of_any_size_are_scored_exactly(spark):
