@@ -56,7 +56,7 @@ def all_pieces():
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     usable = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     usable.sort(key=lambda i: (-sp.get_score(i), i))
-    return {sp.id_to_piece(i): (i, -round(math.log(r + 2) * pieces.UNIT)) for r, i in enumerate(usable)}
+    return {sp.id_to_piece(i): (i, -round(math.log(r + pieces.SHIFT) * pieces.UNIT)) for r, i in enumerate(usable)}
 
 
 @pytest.mark.parametrize("text", ["a  b", "a   b", "a    b", "  if x", "x\n    y", "a ", "   ", " ", "a" + " " * 9 + "b", "▁▁ a  "])
@@ -80,6 +80,12 @@ def test_n_best_of_texts_with_runs_of_spaces_is_that_of_all_pieces(text, all_pie
     assert {b"".join(slices) for _, _, slices in got} == {marked.replace(pieces.SPACE, " ").encode()}
 
 
+def test_best_segmentation_of_most_words_is_the_processors(all_pieces):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    text = "The committee has not yet decided whether the new regulations about energy markets should apply to small companies in the northern regions or only to larger ones".split()
+    assert sum(MODEL.encode(w, 1)[0][1].tolist() == sp.encode(w) for w in text) >= 0.9 * len(text)
+
+
 def test_long_runs_of_spaces_are_quick():
     text = "a" + " " * 20_000 + "b"
     got = MODEL.encode(text, 4)
