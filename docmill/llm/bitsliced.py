@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from .common import Workspace, pick
 #: Rows of an index block, queries that travel at a time, and the high bits of attributes and of query weights in use.
 BLOCK_ROWS, QUERY_BATCH, ATTRIBUTE_BITS, WEIGHT_BITS = 16_384, 8_192, 8, 12
 HITS = "query_id long, vec_id long, score long"
+BLOCK = "dims int, ids binary, rows binary, kind int, low binary, drop int, bits int, slices binary, aside_ids binary, aside binary"
+SCHEMA = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.binary()) for x in BLOCK.split(", ")])
+STORED = ("<i2", "<i4", "<i8")
 #: Rows with a component from here on are scored aside, and bitmaps are used where no sum can pass EXACT.
 LARGE, EXACT = 1 << 40, 1 << 62
 
@@ -87,23 +91,60 @@ def at_least(slices: list[np.ndarray], alive: np.ndarray, value: int) -> np.ndar
 
 @dataclass
 class Block:
-    """Rows of the index: ids, exact integer vectors, and bitmaps of the high bits of each attribute and its complement."""
+    """Rows of the index: ids, exact integer vectors, and bitmaps of the high bits of each attribute.
+
+    An attribute of a row is low + (h << drop) + r; slices[b] has bit b of h for all attributes and rows. Rows with a
+    component too large for that stand aside.
+    """
 
     ids: np.ndarray
     rows: np.ndarray
-
-    def __post_init__(self):
-        n, dims = self.rows.shape
-        self.low = self.rows.min(0) if n else np.zeros(dims, np.int64)
-        span = int((self.rows - self.low).max(initial=0))
-        self.drop = max(0, span.bit_length() - ATTRIBUTE_BITS)
-        self.bits = max(1, span.bit_length() - self.drop)
-        high = ((self.rows - self.low) >> self.drop).astype(np.int64).T
-        self.slices = [_pack((high >> b & 1).astype(np.uint8)) for b in range(self.bits)]
-        self.alive = _pack(np.ones(n, np.uint8))
-        self.flipped = [s ^ self.alive for s in self.slices]
-
-    def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+    low: np.ndarray
+    drop: int
+    slices: np.ndarray
+    aside_ids: np.ndarray
+    aside: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, rows: np.ndarray) -> Block:
+        order = np.argsort(ids, kind="stable")
+        ids, rows = ids[order], rows[order]
+        large = ((rows >= LARGE) | (rows <= -LARGE)).any(axis=1)
+        aside_ids, aside, ids, rows = ids[large], rows[large], ids[~large], rows[~large]
+        n, dims = rows.shape
+        low = rows.min(0) if n else np.zeros(dims, np.int64)
+        span = int((rows - low).max(initial=0))
+        drop = max(0, span.bit_length() - ATTRIBUTE_BITS)
+        high = ((rows - low) >> drop).T
+        slices = np.stack([_pack((high >> b & 1).astype(np.uint8)) for b in range(max(1, span.bit_length() - drop))])
+        return cls(ids, rows, low, drop, slices, aside_ids, aside)
+
+    def stored(self) -> tuple:
+        """As a row of BLOCK; vectors in the least number of bytes that holds them."""
+        kind = next(t for t in STORED if not self.rows.size or np.iinfo(t).min <= self.rows.min() <= self.rows.max() <= np.iinfo(t).max)
+        whole = lambda x: np.ascontiguousarray(x).tobytes()
+        return (self.rows.shape[1], whole(self.ids), whole(self.rows.astype(kind)), STORED.index(kind), whole(self.low), self.drop, len(self.slices), whole(self.slices), whole(self.aside_ids), whole(self.aside))
+
+    @classmethod
+    def read(cls, dims: int, ids: bytes, rows: bytes, kind: int, low: bytes, drop: int, bits: int, slices: bytes, aside_ids: bytes, aside: bytes) -> Block:
+        long = lambda x: np.frombuffer(x, np.int64)
+        vectors = np.frombuffer(rows, STORED[kind]).astype(np.int64).reshape(-1, dims)
+        return cls(long(ids), vectors, long(low), drop, np.frombuffer(slices, "<u8").reshape(bits, dims, -1), long(aside_ids), long(aside).reshape(-1, dims))
+
+    @cached_property
+    def alive(self) -> np.ndarray:
+        return _pack(np.ones(len(self.ids), np.uint8))
+
+    @cached_property
+    def flipped(self) -> np.ndarray:
+        """Slices of each attribute's complement, for negative weights."""
+        return self.slices ^ self.alive
+
+    @cached_property
+    def largest(self) -> int:
+        return int(np.abs(self.rows).max(initial=0))
+
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and exact scores of every row that may be among the k best of this block (and some more).
 
         With v = low + (h << drop) + r and |q| = (w << cut) + e per attribute, the bitmaps give the sum of w * h, or of
@@ -119,18 +160,14 @@ class Block:
             w = int(weights[d])
             for t in range(w.bit_length()):
                 if w >> t & 1:
-                    for b in range(self.bits):
+                    for b in range(len(self.slices)):
                         columns.setdefault(t + b, []).append(source[b][d])
         totals = add_slices(columns)
-        alive = self.alive
-        if own is not None:
-            alive = alive.copy()
-            alive[own // 64] &= ~np.uint64(1 << (own % 64))
-        _, kth = top_rows(totals, alive, k)
-        top = (1 << self.bits) - 1
+        _, kth = top_rows(totals, self.alive, k)
+        top = (1 << len(self.slices)) - 1
         width = int((errors * top).sum() << self.drop) + int((size * ((1 << self.drop) - 1)).sum())
         least = kth - -(-width >> (cut + self.drop)) - 1 if width else kth
-        near = at_least(totals, alive, least)
+        near = at_least(totals, self.alive, least)
         found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(self.ids)])
         return found, self.rows[found] @ query
 
@@ -150,9 +187,9 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_c
     """query_id, rank, vec_id, score: the k rows of largest integer inner product with each query, ties to smaller ids.
 
     queries: a SQL condition on vec_id that picks the query rows; a query's own id is no candidate. Components are
-    floor(scale * x). Rows are dealt once into blocks of about BLOCK_ROWS, each of which indexes itself; queries travel
-    in batches of QUERY_BATCH, so that what is sent has a fixed size, and every block answers with its k best. The
-    result is exact: bitmaps only rule out rows whose upper bound is below the k-th lower bound.
+    floor(scale * x). Rows are dealt once into blocks of about BLOCK_ROWS, whose slices are made once and written; queries
+    travel to them in batches of QUERY_BATCH, so that what is sent has a fixed size, and every task answers with the k
+    best of its blocks. The result is exact: bitmaps only rule out rows whose upper bound is below the k-th lower bound.
 
     Null, empty and non-finite vectors take no part. Rows and queries whose products could pass 64 bits are scored in
     whole numbers of any size; a score among the k best that is no 64-bit integer raises an error. Vectors of another length than a query's are no candidates of it.
@@ -163,71 +200,77 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_c
     work = Workspace(spark, "slices")
     rows = work.save(quantised(vectors, scale, id_col, vector_col), "rows")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    index = work.save(rows.repartition(blocks, F.xxhash64("vec_id")).mapInArrow(_build, BLOCK), "index")
     asked = rows.where(queries)
     rounds = max(1, -(-asked.count() // QUERY_BATCH))
-    dealt = rows.repartition(blocks, F.xxhash64("vec_id"))
-    dealt = dealt if rounds == 1 else work.save(dealt, "dealt")
 
     def hits() -> Iterator[DataFrame]:
         for turn in range(rounds):
             batch = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds)) == turn)
             sent = [(r.vec_id, np.array(r.v, np.int64)) for r in batch.distinct().collect()]
-            yield dealt.mapInArrow(_search(sent, k), HITS)
+            yield index.mapInArrow(_search(sent, k), HITS)
 
-    found = work.rounds(hits(), rounds, "hits")
+    found = work.save(next(hits()), "hits") if rounds == 1 else work.rounds(hits(), rounds, "hits")
+    work.keep("hits")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(sent: list[tuple[int, np.ndarray]], k: int):
-    names = [x.split()[0] for x in HITS.split(", ")]
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows of a partition, those of each length on their own."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def answers(ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order]
-        large = ((rows >= LARGE) | (rows <= -LARGE)).any(axis=1)
-        aside = ids[large], rows[large]
-        block = Block(ids[~large], rows[~large]) if not large.all() else None
-        bound = int(np.abs(block.rows).max(initial=0)) * 4 if block else 0
-        for q, v in sent:
-            if len(v) != rows.shape[1]:
-                continue
-            mine = block is not None and sum(abs(x) for x in v.tolist()) * bound < EXACT
-            near_ids, near = np.empty(0, np.int64), np.empty(0, np.int64)
-            if mine:
-                a, b = np.searchsorted(block.ids, [q, q + 1])
-                at, score = block.search(v, k + (b - a), None)
-                other = block.ids[at] != q
-                at, score = at[other], score[other]
-                best = np.lexsort((block.ids[at], -score))[:k]
-                near_ids, near = block.ids[at[best]], score[best]
-            if large.any() or not mine:
-                exact_ids, exact = aside if mine else (ids, rows)
-                scores = exact.astype(object) @ v.astype(object)
-                pairs = [(-s, i) for s, i in zip(scores.tolist(), exact_ids.tolist(), strict=True) if i != q]
-                pairs = heapq.nsmallest(k, [*pairs, *zip((-near).tolist(), near_ids.tolist(), strict=True)])
-                near_ids, near = [i for _, i in pairs], [-s for s, _ in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near_ids), q)), pa.array(near_ids, pa.int64()), pa.array(near, pa.int64())], names)
+    def block(dims: int) -> pa.RecordBatch:
+        ids, rows = zip(*held.pop(dims), strict=True)
+        return pa.RecordBatch.from_pylist([dict(zip(_names(BLOCK), Block.of(np.concatenate(ids), np.concatenate(rows)).stored(), strict=True))], SCHEMA)
+
+    for batch in batches:
+        lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        ids = batch.column("vec_id").to_numpy()
+        flat = batch.column("v").flatten().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        for dims in np.unique(lengths):
+            own = np.flatnonzero(lengths == dims)
+            rows = flat.reshape(-1, dims) if len(own) == len(ids) else np.stack([flat[ends[i] : ends[i + 1]] for i in own])
+            held.setdefault(int(dims), []).append((ids[own], rows.astype(np.int64)))
+            if sum(len(i) for i, _ in held[int(dims)]) >= 2 * BLOCK_ROWS:
+                yield block(int(dims))
+    for dims in list(held):
+        yield block(dims)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
 
-        def ready(dims: int):
-            ids, rows = zip(*held.pop(dims), strict=True)
-            return answers(np.concatenate(ids), np.concatenate(rows))
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
+
+def _search(sent: list[tuple[int, np.ndarray]], k: int):
+    def answer(block: Block, q: int, v: np.ndarray) -> list[tuple[int, int]]:
+        """(minus score, id) of the k best of a block."""
+        found: list[tuple[int, int]] = []
+        mine = len(block.ids) > 0 and sum(abs(x) for x in v.tolist()) * block.largest * 4 < EXACT
+        if mine:
+            a, b = np.searchsorted(block.ids, [q, q + 1])
+            at, score = block.search(v, k + (b - a))
+            other = block.ids[at] != q
+            at, score = at[other], score[other]
+            best = np.lexsort((block.ids[at], -score))[:k]
+            found = list(zip((-score[best]).tolist(), block.ids[at[best]].tolist(), strict=True))
+        for ids, rows in [(block.aside_ids, block.aside)] + ([] if mine else [(block.ids, block.rows)]):
+            if len(ids):
+                scores = (rows.astype(object) @ v.astype(object)).tolist()
+                found += [(-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if i != q]
+        return heapq.nsmallest(k, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[int, int]]] = [[] for _ in sent]
         for batch in batches:
-            lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            ids = batch.column("vec_id").to_numpy()
-            flat = batch.column("v").flatten().to_numpy()
-            ends = np.concatenate(([0], np.cumsum(lengths)))
-            for dims in np.unique(lengths):
-                own = np.flatnonzero(lengths == dims)
-                rows = flat.reshape(-1, dims) if len(own) == len(ids) else np.stack([flat[ends[i] : ends[i + 1]] for i in own])
-                held.setdefault(int(dims), []).append((ids[own], rows.astype(np.int64)))
-                if sum(len(i) for i, _ in held[int(dims)]) >= 2 * BLOCK_ROWS:
-                    yield from ready(int(dims))
-        for dims in list(held):
-            yield from ready(dims)
+            for record in batch.to_pylist():
+                block = Block.read(**record)
+                for n, (q, v) in enumerate(sent):
+                    if len(v) == block.rows.shape[1]:
+                        best[n] = heapq.nsmallest(k, [*best[n], *answer(block, q, v)])
+        rows = [(q, i, -s) for (q, _), own in zip(sent, best, strict=True) for s, i in own]
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _names(HITS))
 
     return run
