@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from .common import STEP, WordHashes, Workspace, mixed, pick, shingle_set
 from .components import connected_components
 
-SAMPLES, BANDS, SKETCH_BITS, SET_BITS = 128, 32, 512, 1024
+#: Bands of six samples: a pair at 0.8 shares one but for a chance of 4e-8, one at 0.1 shares one with a chance of 6e-5.
+SAMPLES, BANDS, SKETCH_BITS, SET_BITS = 336, 56, 1024, 1024
+#: Classes of a bucket that one task compares with the bucket's others.
+SPLIT = 4096
 ROWS = SAMPLES // BANDS
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(1, 2**32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -39,7 +42,7 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 def odd_sketches(low: np.ndarray) -> np.ndarray:
     """Rows of samples to bitmaps: each sample flips one bit, so that what two sets share cancels in an XOR."""
     with np.errstate(over="ignore"):
-        bit = (mixed(low.astype(np.uint64) + _SALT) >> np.uint64(55)).astype(np.int64)
+        bit = (mixed(low.astype(np.uint64) + _SALT) >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64)
     flips = np.zeros((len(low), SKETCH_BITS), np.uint8)
     np.bitwise_xor.at(flips, (np.repeat(np.arange(len(low)), SAMPLES), bit.ravel()), 1)
     return np.packbits(flips, axis=1, bitorder="little").view("<i8")
@@ -144,15 +147,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Rows are linked when their word-shingle sets (see shingle_set) have a Jaccard similarity of percent/100 or more.
     component_id is the smallest doc_id reachable over links, kept tells whether it is the row's own.
 
-    1. A row's set gives 128 MinHash samples: 32 bands of 4 propose pairs (a pair at 0.8 is missed with a chance of
-       5e-8), and all samples folded into a 512-bit odd sketch screen them by the population count of an XOR. An odd sketch of
-       the whole set (1024 bits) bounds the difference of two sets from below and so rules out pairs for certain.
+    1. A row's set gives 336 MinHash samples: 56 bands of 6 propose pairs (a pair at 0.8 is missed with a chance of
+       4e-8), and all samples folded into a 1024-bit odd sketch screen them by the population count of an XOR. An odd sketch
+       of the whole set (1024 bits) bounds the difference of two sets from below and so rules out pairs for certain.
     2. Equal sets become one class, so that exact copies are never paired.
     3. In each band bucket every class is tried against the bucket's smallest class only. This unites large groups
        of near copies with linearly many pairs.
     4. Buckets that still hold several components are joined: all classes outside the bucket's largest component
        against all classes of other components, each pair in the first band that it shares. The screens are part of
-       the join's condition. No link between components is left out, and nothing is capped.
+       the join's condition. A bucket of many such classes is split: each part of SPLIT of them meets a copy of the
+       bucket. No link between components is left out, and nothing is capped.
     Each proposed link is confirmed on the full sets of both texts.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Rows without id: component_id null, kept.
@@ -181,13 +185,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     placed = live.select("band", "pos", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "pos", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = work.save(placed, "placed")
     counts = placed.groupBy("band", "comp").count()
-    mixed_buckets = counts.groupBy("band").agg(F.max(F.struct("count", "comp")).getField("comp").alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "top")
+    mixed_buckets = counts.groupBy("band").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("k"), F.sum("count").alias("n")).where("k > 1")
+    mixed_buckets = mixed_buckets.select("band", F.col("most.comp").alias("top"), F.ceil((F.col("n") - F.col("most.count")) / SPLIT).cast("int").alias("parts"))
     open_rows = work.save(placed.join(mixed_buckets, "band").join(sketches, "rep"), "open")
-    outside = open_rows.where("comp <> top")
+    outside = open_rows.where("comp <> top").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    others = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     first_shared = "array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = x.pos + 1"
     pairs = outside.alias("x").join(
-        open_rows.alias("y"),
-        F.expr(f"x.band = y.band AND x.comp <> y.comp AND (y.comp = y.top OR x.rep < y.rep) AND {_alike('x', 'y', percent)} AND {first_shared}"),
+        others.alias("y"),
+        F.expr(f"x.band = y.band AND x.part = y.part AND x.comp <> y.comp AND (y.comp = y.top OR x.rep < y.rep) AND {_alike('x', 'y', percent)} AND {first_shared}"),
     )
     pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = work.save(_links(pairs, texts, words, percent), "more_links")

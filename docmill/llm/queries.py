@@ -97,6 +97,30 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE said AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM said
+        ), entries AS (
+            SELECT min(doc_id) AS rep, len(s) AS n, unnest(s) AS x FROM sets WHERE len(s) > 0 GROUP BY s
+        ), shared AS (
+            SELECT a.rep AS a, b.rep AS b, count(*) AS ab, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM entries a JOIN entries b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared WHERE 100 * ab >= 80 * (na + nb - ab)
+        ), edges AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT rep AS a, rep AS b FROM (SELECT DISTINCT rep FROM entries)
+            UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+        ), least AS (
+            SELECT a AS rep, min(b) AS component FROM reach GROUP BY a
+        ), reps AS (
+            SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s
+        )
+        SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN reps ON sets.s = reps.s LEFT JOIN least ON reps.rep = least.rep""",
     "op9_top_k": """
         WITH fine AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings

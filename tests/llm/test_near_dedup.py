@@ -93,3 +93,15 @@ def test_sampled_sketch_keeps_pairs_at_the_threshold():
         a, b = np.concatenate([shared, own[:100]]), np.concatenate([shared, own[100:]])
         s = nd.odd_sketches(np.array([nd.minhashes(a), nd.minhashes(b)]))
         assert int(np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum()) <= bound
+
+
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SPLIT", 2)
+    r, rows = random.Random(9), []
+    base = words(90, 12)
+    for i in range(60):  # each a near copy of an earlier one, so that components meet late
+        w = rows[r.randrange(len(rows))][1].split() if rows else list(base)
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"y{r.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    assert result(nd.near_duplicates(docs(spark, rows), words=2)) == brute(rows, 2)
