@@ -23,40 +23,69 @@ Steps = list[tuple[str, str]]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def steps(pairs: str) -> Steps:
-    """"AU>O OU>U H>" as replacements in order."""
-    return [tuple(p.split(">")) for p in pairs.split()]
-
-
-# Fixed values, by language: accents and letters to plain letters, spellings to sounds, and the digit of each letter.
-ACCENTS = {
-    "fr": "É>E È>E Ê>E Ë>E À>A Â>A Ä>A Î>I Ï>I Ô>O Ö>O Ù>U Û>U Ü>U Ç>S Œ>OE Æ>AE",
-    "es": "Á>A É>E Í>I Ó>O Ú>U Ü>U Ñ>NY",
-    "it": "À>A È>E É>E Ì>I Ò>O Ù>U",
-    "pt": "Á>A À>A Â>A Ã>AN É>E Ê>E Í>I Ó>O Ô>O Õ>ON Ú>U Ü>U Ç>S",
-    "nl": "IJ>Y Ë>E Ï>I É>E",
-    "el": "ΟΥ>U ΑΥ>AV ΕΥ>EV ΑΙ>E ΕΙ>I ΟΙ>I ΥΙ>I ΜΠ>B ΝΤ>D ΓΚ>G ΓΓ>NG ΤΣ>TS ΤΖ>DZ "
-    "Α>A Ά>A Β>V Γ>G Δ>D Ε>E Έ>E Ζ>Z Η>I Ή>I Θ>TH Ι>I Ί>I Ϊ>I Κ>K Λ>L Μ>M Ν>N Ξ>KS Ο>O Ό>O Π>P Ρ>R Σ>S Τ>T Υ>I Ύ>I Ϋ>I Φ>F Χ>CH Ψ>PS Ω>O Ώ>O",
-}
-SOUNDS = {
-    "fr": "EAU>O AU>O OU>U OI>WA CH>S SCH>S SH>S GN>N PH>F QU>K CK>K CC>K GU>G GA>KA GO>KO GY>JI CE>SE CI>SI CY>SY C>K AN>1 AM>1 EN>1 EM>1 IN>2 IM>2 AIN>2 EIN>2 ON>3 OM>3 UN>4 UM>4",
-    "es": "CH>X LL>Y RR>R QU>K GU>G CE>SE CI>SI CY>SY ZA>SA ZE>SE ZI>SI ZO>SO ZU>SU C>K B>V H>",
-    "it": "GLI>LI GN>N SCE>SE SCI>SI CHE>KE CHI>KI GHE>GE GHI>GI GE>JE GI>JI QU>KU H>",
-    "pt": "NH>N LH>L CH>X RR>R SS>S QU>K GU>G CE>SE CI>SI GE>JE GI>JI",
-    "nl": "SCH>S CH>G PH>F QU>KW TH>T DT>T AA>A EE>E OO>O UU>U W>V",
-    "el": "TH>T CH>K PS>S KS>S",
-    "ja": "SH>S CH>T TS>T DZ>Z AA>A II>I UU>U EE>E OO>O OU>O",
-}
-DIGITS = {
-    "en": "BFPV>1 CGJKQSXZ>2 DT>3 L>4 MN>5 R>6",
-    "fr": "BP>1 CKQ>2 DT>3 L>4 MN>5 R>6 GJ>7 SXZ>8 FV>9 1>1 2>2 3>3 4>4",
-    "es": "BVW>1 KQ>2 DT>3 L>4 MN>5 R>6 GJX>7 SZ>8 FP>9 Y>0",
-    "it": "BP>1 CKQ>2 DT>3 L>4 MN>5 R>6 GJ>7 SXZ>8 FV>9",
-    "pt": "BP>1 CKQ>2 DT>3 L>4 MN>5 R>6 GJX>7 SZ>8 FV>9",
-    "nl": "BP>1 CKQ>2 DT>3 L>4 MN>5 R>6 GJ>7 SXZ>8 FV>9",
-    "el": "BP>1 GK>2 DT>3 L>4 MN>5 R>6 SZ>7 FV>8",
-    "ja": "BP>1 GK>2 DT>3 MN>4 R>5 SZ>6 HFV>7 WY>8",
-}
+# Fixed values, by language: accents and letters to plain letters, spellings to sounds, in order, and the digit of each letter.
+ACCENTS: dict[str, Steps] = {
+    "fr": [
+        ("É", "E"), ("È", "E"), ("Ê", "E"), ("Ë", "E"), ("À", "A"), ("Â", "A"), ("Ä", "A"), ("Î", "I"), ("Ï", "I"), ("Ô", "O"), ("Ö", "O"), ("Ù", "U"),
+        ("Û", "U"), ("Ü", "U"), ("Ç", "S"), ("Œ", "OE"), ("Æ", "AE"),
+    ],
+    "es": [
+        ("Á", "A"), ("É", "E"), ("Í", "I"), ("Ó", "O"), ("Ú", "U"), ("Ü", "U"), ("Ñ", "NY"),
+    ],
+    "it": [
+        ("À", "A"), ("È", "E"), ("É", "E"), ("Ì", "I"), ("Ò", "O"), ("Ù", "U"),
+    ],
+    "pt": [
+        ("Á", "A"), ("À", "A"), ("Â", "A"), ("Ã", "AN"), ("É", "E"), ("Ê", "E"), ("Í", "I"), ("Ó", "O"), ("Ô", "O"), ("Õ", "ON"), ("Ú", "U"), ("Ü", "U"),
+        ("Ç", "S"),
+    ],
+    "nl": [
+        ("IJ", "Y"), ("Ë", "E"), ("Ï", "I"), ("É", "E"),
+    ],
+    "el": [
+        ("ΟΥ", "U"), ("ΑΥ", "AV"), ("ΕΥ", "EV"), ("ΑΙ", "E"), ("ΕΙ", "I"), ("ΟΙ", "I"), ("ΥΙ", "I"), ("ΜΠ", "B"), ("ΝΤ", "D"), ("ΓΚ", "G"), ("ΓΓ", "NG"),
+        ("ΤΣ", "TS"), ("ΤΖ", "DZ"), ("Α", "A"), ("Ά", "A"), ("Β", "V"), ("Γ", "G"), ("Δ", "D"), ("Ε", "E"), ("Έ", "E"), ("Ζ", "Z"), ("Η", "I"), ("Ή", "I"),
+        ("Θ", "TH"), ("Ι", "I"), ("Ί", "I"), ("Ϊ", "I"), ("Κ", "K"), ("Λ", "L"), ("Μ", "M"), ("Ν", "N"), ("Ξ", "KS"), ("Ο", "O"), ("Ό", "O"), ("Π", "P"),
+        ("Ρ", "R"), ("Σ", "S"), ("Τ", "T"), ("Υ", "I"), ("Ύ", "I"), ("Ϋ", "I"), ("Φ", "F"), ("Χ", "CH"), ("Ψ", "PS"), ("Ω", "O"), ("Ώ", "O"),
+    ],
+}
+SOUNDS: dict[str, Steps] = {
+    "fr": [
+        ("EAU", "O"), ("AU", "O"), ("OU", "U"), ("OI", "WA"), ("CH", "S"), ("SCH", "S"), ("SH", "S"), ("GN", "N"), ("PH", "F"), ("QU", "K"), ("CK", "K"),
+        ("CC", "K"), ("GU", "G"), ("GA", "KA"), ("GO", "KO"), ("GY", "JI"), ("CE", "SE"), ("CI", "SI"), ("CY", "SY"), ("C", "K"), ("AN", "1"), ("AM", "1"),
+        ("EN", "1"), ("EM", "1"), ("IN", "2"), ("IM", "2"), ("AIN", "2"), ("EIN", "2"), ("ON", "3"), ("OM", "3"), ("UN", "4"), ("UM", "4"),
+    ],
+    "es": [
+        ("CH", "X"), ("LL", "Y"), ("RR", "R"), ("QU", "K"), ("GU", "G"), ("CE", "SE"), ("CI", "SI"), ("CY", "SY"), ("ZA", "SA"), ("ZE", "SE"), ("ZI", "SI"),
+        ("ZO", "SO"), ("ZU", "SU"), ("C", "K"), ("B", "V"), ("H", ""),
+    ],
+    "it": [
+        ("GLI", "LI"), ("GN", "N"), ("SCE", "SE"), ("SCI", "SI"), ("CHE", "KE"), ("CHI", "KI"), ("GHE", "GE"), ("GHI", "GI"), ("GE", "JE"), ("GI", "JI"),
+        ("QU", "KU"), ("H", ""),
+    ],
+    "pt": [
+        ("NH", "N"), ("LH", "L"), ("CH", "X"), ("RR", "R"), ("SS", "S"), ("QU", "K"), ("GU", "G"), ("CE", "SE"), ("CI", "SI"), ("GE", "JE"), ("GI", "JI"),
+    ],
+    "nl": [
+        ("SCH", "S"), ("CH", "G"), ("PH", "F"), ("QU", "KW"), ("TH", "T"), ("DT", "T"), ("AA", "A"), ("EE", "E"), ("OO", "O"), ("UU", "U"), ("W", "V"),
+    ],
+    "el": [
+        ("TH", "T"), ("CH", "K"), ("PS", "S"), ("KS", "S"),
+    ],
+    "ja": [
+        ("SH", "S"), ("CH", "T"), ("TS", "T"), ("DZ", "Z"), ("AA", "A"), ("II", "I"), ("UU", "U"), ("EE", "E"), ("OO", "O"), ("OU", "O"),
+    ],
+}
+DIGITS: dict[str, dict[str, str]] = {
+    "en": {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"},
+    "fr": {"BP": "1", "CKQ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "GJ": "7", "SXZ": "8", "FV": "9", "1": "1", "2": "2", "3": "3", "4": "4"},
+    "es": {"BVW": "1", "KQ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "GJX": "7", "SZ": "8", "FP": "9", "Y": "0"},
+    "it": {"BP": "1", "CKQ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "GJ": "7", "SXZ": "8", "FV": "9"},
+    "pt": {"BP": "1", "CKQ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "GJX": "7", "SZ": "8", "FV": "9"},
+    "nl": {"BP": "1", "CKQ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "GJ": "7", "SXZ": "8", "FV": "9"},
+    "el": {"BP": "1", "GK": "2", "DT": "3", "L": "4", "MN": "5", "R": "6", "SZ": "7", "FV": "8"},
+    "ja": {"BP": "1", "GK": "2", "DT": "3", "MN": "4", "R": "5", "SZ": "6", "HFV": "7", "WY": "8"},
+}
 #: Rows of the kana table in the order a i u e o, with their consonant; small vowels and glides sound like large ones.
 KANA = {"": "あいうえお", "K": "かきくけこ", "G": "がぎぐげご", "S": "さしすせそ", "Z": "ざじずぜぞ", "T": "たちつてと", "D": "だぢづでど", "N": "なにぬねの", "H": "はひふへほ", "B": "ばびぶべぼ", "P": "ぱぴぷぺぽ", "M": "まみむめも", "R": "らりるれろ"}
 KANA_SINGLE = {"や": "YA", "ゆ": "YU", "よ": "YO", "ゃ": "YA", "ゅ": "YU", "ょ": "YO", "わ": "WA", "を": "O", "ん": "N", "ゔ": "VU", "ぁ": "A", "ぃ": "I", "ぅ": "U", "ぇ": "E", "ぉ": "O"}
@@ -78,14 +107,14 @@ def letters(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Z]", "")
 
 
-def digits_of(c: Column, table: str) -> Column:
+def digits_of(c: Column, table: dict[str, str]) -> Column:
     """Every character as its digit, or "-" where it has none."""
-    to = {ch: d for group, d in steps(table) for ch in group}
+    to = {ch: d for group, d in table.items() for ch in group}
     source = ALPHABET + "1234"
     return F.translate(c, source, "".join(to.get(ch, "-") for ch in source))
 
 
-def code(first: Column, first_digit_of: Column, rest: Column, table: str) -> Column:
+def code(first: Column, first_digit_of: Column, rest: Column, table: dict[str, str]) -> Column:
     """First letter, then digits of the rest; a digit that repeats the one right before it is left out. Four long."""
     digits = F.concat(digits_of(first_digit_of, table), digits_of(rest, table))
     collapsed = F.regexp_replace(digits, r"([0-9])\1+", "$1")
@@ -112,9 +141,9 @@ def soundex(c: Column, language: str) -> Column:
     if language == "ja":
         plain = letters(replaced(upper, kana()))
     else:
-        plain = letters(replaced(upper, steps(ACCENTS.get(language, ""))))
+        plain = letters(replaced(upper, ACCENTS.get(language, [])))
     language = language if language in DIGITS else "en"
-    table, sounds = DIGITS[language], steps(SOUNDS.get(language, ""))
+    table, sounds = DIGITS[language], SOUNDS.get(language, [])
     if language == "fr":
         silent = F.when((F.length(plain) > 2) & F.rlike(plain, F.lit("[TDSXZP]$")), F.regexp_replace(plain, ".$", "")).otherwise(plain)
         out = code(head(plain), head(plain), tail(replaced(silent, sounds)), table)
@@ -132,7 +161,7 @@ def soundex(c: Column, language: str) -> Column:
 
 def cologne(c: Column) -> Column:
     """Contexts are resolved while the letters around still stand; w and x hold the place of X until the end."""
-    plain = letters(replaced(F.upper(c), steps("Ä>A Ö>O Ü>U ß>SS")))
+    plain = letters(replaced(F.upper(c), [("Ä", "A"), ("Ö", "O"), ("Ü", "U"), ("ß", "SS")]))
     contexts = [
         ("(?<=[CKQ])X", "w"), ("X", "x"), ("[DT](?=[CSZ])", "8"), ("P(?=H)", "3"),
         ("^C(?=[AHKLOQRUwx])", "4"), ("^C", "8"), ("(?<=[SZ])C", "8"), ("C(?=[AHKOQUwx])", "4"), ("C", "8"),
@@ -147,9 +176,14 @@ def cologne(c: Column) -> Column:
     return F.when((trimmed == "") & (out != ""), "0").otherwise(trimmed)
 
 
-CAVERPHONE = [
-    ("e$", ""), ("^(c|r|t|en)ough", "$1of2f"), ("^gn", "2n"), ("mb$", "m2"),
-    *[(a, b) for a, b in steps("cq>2q ci>si ce>se cy>sy tch>2ch c>k q>k x>k v>f dg>2g tio>sio tia>sia d>t ph>fh b>p sh>s2 z>s gh>22 gn>2n g>k kh>k2 wh>w2 wa>2a we>2e wi>2i wo>2o wu>2u w>2")],
+#: Spellings of Caverphone in order; 2 holds the place of a sound that isn't heard.
+CAVERPHONE_SPELLINGS: Steps = [
+    ("cq", "2q"), ("ci", "si"), ("ce", "se"), ("cy", "sy"), ("tch", "2ch"), ("c", "k"), ("q", "k"), ("x", "k"), ("v", "f"), ("dg", "2g"), ("tio", "sio"),
+    ("tia", "sia"), ("d", "t"), ("ph", "fh"), ("b", "p"), ("sh", "s2"), ("z", "s"), ("gh", "22"), ("gn", "2n"), ("g", "k"), ("kh", "k2"), ("wh", "w2"),
+    ("wa", "2a"), ("we", "2e"), ("wi", "2i"), ("wo", "2o"), ("wu", "2u"), ("w", "2"),
+]
+CAVERPHONE: Steps = [
+    ("e$", ""), ("^(c|r|t|en)ough", "$1of2f"), ("^gn", "2n"), ("mb$", "m2"), *CAVERPHONE_SPELLINGS,
     ("(?<=[aeiou])h(?=[aeiou])", "2"), ("h", ""), ("[aeiou]", "A"), (r"(.)\1+", "$1"), ("2", ""),
 ]
 

@@ -92,12 +92,12 @@ def check_collection(catalog, collection: str, df: DataFrame, updating: bool = F
             raise QueryError("edges need _from and _to")
 
 
-def written(catalog, collection: str, kept: DataFrame, new: DataFrame) -> None:
-    """The collection's next version: kept rows as they were and new ones, which keep its unique indexes."""
+def written(catalog, collection: str, kept: DataFrame, new: DataFrame, after: int | None = None) -> None:
+    """The collection's next version, after one that was read: kept rows as they were and new ones, which keep its unique indexes."""
     for columns in catalog.unique.get(collection, ()):
         if set(columns) <= set(new.columns):
             check_unique(collection, kept, new, columns)
-    catalog.replace(collection, merged(kept, new))
+    catalog.replace(collection, merged(kept, new), after=after)
 
 
 def check_unique(collection: str, kept: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> None:
@@ -184,9 +184,10 @@ def changed_frame(done: DataFrame):
 def update(compiler, frame, c: t.Update):
     """Changed rows are written once for NEW and OLD, and the table's next version once: kept rows and changed ones."""
     catalog, table = compiler.catalog, compiler.catalog.table(c.collection)
+    read = catalog.version(c.collection)
     check_collection(catalog, c.collection, table, updating=True)
     done = saved(applied(table, changes_by_key(compiler, frame, c.selector, c.changes)))
-    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"))
+    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"), read)
     return changed_frame(done), {"updated": done.count()}
 
 
@@ -194,9 +195,10 @@ def remove(compiler, frame, c: t.Remove):
     from ..plans.compiler import Frame
 
     catalog, table = compiler.catalog, compiler.catalog.table(c.collection)
+    read = catalog.version(c.collection)
     keys = changes_by_key(compiler, frame, c.selector, None)
     gone = saved(table.join(keys, table["_key"] == keys["__key"], "left_semi"))
-    catalog.replace(c.collection, table.join(gone.select("_key"), "_key", "left_anti").select(*table.columns))
+    catalog.replace(c.collection, table.join(gone.select("_key"), "_key", "left_anti").select(*table.columns), after=read)
     return Frame(gone.select(F.struct("*").alias("OLD")), {"OLD": gone.schema}, (), True), {"removed": gone.count()}
 
 
@@ -216,7 +218,7 @@ def upsert(compiler, frame, c: t.Upsert):
         raise QueryError("UPSERT inserts an object and updates with one")
     if not catalog.has(c.collection):
         catalog.replace(c.collection, with_system_columns(compiler.spark.createDataFrame([], T.StructType([f for f in new.type.fields if f.name != "_key"])), c.collection))
-    table = catalog.table(c.collection)
+    table, read = catalog.table(c.collection), catalog.version(c.collection)
     rows = saved(frame.df.select(key.alias("__key"), new.col.alias("__insert"), change.col.alias("__changes"), F.monotonically_increasing_id().alias("__at")))
     keys = table.select(F.col("_key").alias("__key"))
     known = rows.join(keys, "__key", "left_semi").groupBy("__key").agg(F.max_by("__changes", "__at").alias("__changes"))
@@ -230,7 +232,7 @@ def upsert(compiler, frame, c: t.Upsert):
     inserted = merged(fresh.join(twice.select("_key"), "_key", "left_anti"), twice) if "_key" in new.type.fieldNames() else fresh
     updated = applied(table, known, c.replace)
     done = saved(merged(updated, inserted))
-    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"))
+    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"), read)
     n_new = fresh.count()
     return changed_frame(done), {"inserted": n_new, "updated": rows.count() - n_new}
 

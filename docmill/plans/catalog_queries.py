@@ -179,7 +179,6 @@ add("functions_string", """
       len([x FOR x IN string_split_regex(p_name, '\\s+') IF x <> '']) AS v, string_split(p_brand, '#')[2] AS w, regexp_replace(p_name, '[0-9]+', 'N', 'g') AS x, starts_with(p_type, 'S') AS y, length(p_type) AS z FROM part""")
 add("functions_fuzzy", 'FOR p IN part RETURN {k: p.p_partkey, l: LEVENSHTEIN(p.p_brand, "Brand#12"), f: FUZZY_MATCH(p.p_brand, "Brand#12", 1), h: HIGHLIGHT(p.p_brand, "brand")}', """
     SELECT p_partkey AS k, levenshtein(p_brand, 'Brand#12') AS l, levenshtein(p_brand, 'Brand#12') <= 1 AS f, replace(p_brand, 'Brand', '<b>Brand</b>') AS h FROM part""")
-add("functions_similarity", 'FOR p IN part RETURN {k: p.p_partkey, s: SIMILARITY(p.p_type, "standard brushed tin")}', None)
 add("functions_date", """
     FOR o IN orders RETURN {k: o.o_orderkey, y: DATE_YEAR(o.o_orderdate), m: DATE_MONTH(o.o_orderdate), d: DATE_DAY(o.o_orderdate), w: DATE_DAYOFWEEK(o.o_orderdate), q: DATE_QUARTER(o.o_orderdate), dy: DATE_DAYOFYEAR(o.o_orderdate), iw: DATE_ISOWEEK(o.o_orderdate), dm: DATE_DAYS_IN_MONTH(o.o_orderdate),
       t: DATE_TRUNC(o.o_orderdate, "month"), a: DATE_ADD(o.o_orderdate, 1, "month"), b: DATE_SUBTRACT(o.o_orderdate, 36, "hours"), f: DATE_FORMAT(o.o_orderdate, "%d.%m.%Y"), x: DATE_DIFF(o.o_orderdate, "1998-12-31T00:00:00Z", "days"), z: DATE_TIMESTAMP(o.o_orderdate)}""", """
@@ -204,7 +203,6 @@ add("functions_type", 'FOR c IN customer RETURN {k: c.c_custkey, a: TYPEOF(c.c_n
     SELECT c_custkey AS k, 'string' AS a, 'int' AS b, false AS c, true AS d, CAST(right(c_name, 3) AS DOUBLE) AS e, true AS f, c_mktsegment AS g, nullif(c_mktsegment, 'BUILDING') AS h, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS i, true AS j, CAST(c_nationkey AS VARCHAR) AS l, c_acctbal = floor(c_acctbal) AS m FROM customer""")
 add("functions_crypto", "FOR c IN customer RETURN {k: c.c_custkey, m: MD5(c.c_name), s: SHA256(c.c_name), b: BASE64_ENCODE(c.c_name), d: BASE64_DECODE(BASE64_ENCODE(c.c_name)), h: HEX_ENCODE(c.c_name)}", """
     SELECT c_custkey AS k, md5(c_name) AS m, sha256(c_name) AS s, base64(encode(c_name)) AS b, c_name AS d, lower(hex(encode(c_name))) AS h FROM customer""")
-add("functions_phonetic", 'FOR c IN customer RETURN {k: c.c_custkey, s: SOUNDEX(c.c_mktsegment), m: METAPHONE(c.c_mktsegment), g: COLOGNE(c.c_mktsegment), v: CAVERPHONE(c.c_mktsegment), n: NYSIIS(c.c_mktsegment), f: SOUNDEX(c.c_mktsegment, "fr")}', None)
 add("functions_geo", "FOR c IN customer LET p = {lat: c.c_custkey % 90, lon: c.c_nationkey * 7} RETURN {k: c.c_custkey, d: ROUND(GEO_DISTANCE(p, [48.85, 2.35]), 1), w: GEO_WITHIN(p, [[0, 0], [0, 45], [60, 45], [60, 0]])}", """
     SELECT c_custkey AS k, round(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(48.85 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(2.35 - lon) / 2), 2)))), 1) AS d, lon < 60 AND lat < 45 AS w
     FROM (SELECT c_custkey, CAST(c_custkey % 90 AS DOUBLE) AS lat, c_nationkey * 7.0 AS lon FROM customer)""")
@@ -234,27 +232,6 @@ def fulltext_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.item_id", "score")
 
 
-@added("bm25_search", None)
-def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_search(engine(spark, sf_dir).catalog.table("documents"), "text", "the thing was", "doc_id", 20)
-
-
-@added("hybrid_search", None)
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = engine(spark, sf_dir).catalog
-    both = c.table("benchmark").join(c.table("embeddings"), F.col("item_id") == F.col("vec_id")).select("item_id", "text", "embedding")
-    query = c.table("embeddings").where("vec_id = 1").first().embedding
-    return search.hybrid_search(both, "item_id", "embedding", query, "text", "the thing", fusion="rrf").select("doc.item_id", "score", "vector_score", "text_score")
-
-
-@added("quantised_search", None)
-def quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = engine(spark, sf_dir).catalog.table("embeddings")
-    query = df.where("vec_id = 1").first().embedding
-    coded, low, high = search.quantised(df, "embedding", len(query))
-    return search.quantised_search(coded, low, high, "embedding", query, 10).select("vec_id", F.round("score", 5).alias("score"))
-
-
 # -- graph
 
 

@@ -117,8 +117,9 @@ class Compiler:
         frame, returns = self.body(query, Frame(self.spark.range(1).select(), {}))
         frame, returns = self.ordered(frame, query, returns)
         if isinstance(returns, t.Obj) and returns.items and len({k.lower() for k, _ in returns.items}) == len(returns.items):
-            cols = [materialised(self.expr(e, frame.scope)).col.alias(k) for k, e in returns.items]
-            df = frame.df.select(*cols)
+            # Renamed afterwards: a variable inside a lambda would else be taken for the new column of the same name.
+            cols = [materialised(self.expr(e, frame.scope)).col.alias(f"{HIDDEN}out{i}") for i, (_, e) in enumerate(returns.items)]
+            df = frame.df.select(*cols).toDF(*(k for k, _ in returns.items))
         else:
             v = materialised(self.expr(returns, frame.scope))
             df = frame.df.select(v.col.alias("value"))

@@ -23,7 +23,8 @@ class Catalog:
     """Named DataFrames. With a root folder, tables can be written: every rewrite is a new version folder.
 
     A version counts once Spark's commit marker is in it, so a write that dies leaves the table as it was, and a query may
-    read a table that it replaces. Old versions stay until vacuum().
+    read a table that it replaces. A writer claims its version's number, and gives up if another one has committed since
+    the version that it read. Old versions stay until vacuum().
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -31,6 +32,8 @@ class Catalog:
         self.loaders: dict[str, Callable[[], DataFrame]] = {}
         self.kinds: dict[str, str] = {}
         self.views: dict[str, str] = {}
+        #: How sharded collections are dealt out, which exports say of each document.
+        self.shards: dict[str, dict[str, int | str]] = {}
         #: Unique indexes by collection, as tuples of columns; writes that would break one fail.
         self.unique: dict[str, list[tuple[str, ...]]] = {}
 
@@ -51,8 +54,9 @@ class Catalog:
         self.loaders[name] = lambda: utc(self.spark.read.format(fmt).options(**options).load(path))
         self.kinds[name] = kind
 
-    def add_shards(self, name: str, paths: list[str], fmt: str = "parquet", kind: str = "document") -> None:
+    def add_shards(self, name: str, paths: list[str], fmt: str = "parquet", kind: str = "document", replicas: int = 1) -> None:
         """A collection whose shards and replicas lie in several folders: one row per `_key`."""
+        self.shards[name] = {"num_shards": len(paths), "shard_key": "_key", "replication_factor": replicas}
         self.loaders[name] = lambda: utc(self.spark.read.format(fmt).load(paths)).dropDuplicates(["_key"])
         self.kinds[name] = kind
 
@@ -78,13 +82,15 @@ class Catalog:
     def folder(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version:06d}"
 
+    def _begun(self, name: str) -> list[tuple[int, object]]:
+        """Numbers and folders of all versions, committed or not."""
+        fs, path = self._fs(f"{self.root}/{name}")
+        found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [(int(m[1]), p) for p in found if (m := re.fullmatch(r"v(\d+)", p.getName()))]
+
     def versions(self, name: str) -> list[int]:
         """Committed versions, oldest first."""
-        fs, path = self._fs(f"{self.root}/{name}")
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        names = [(int(m[1]), p) for p in found if (m := re.fullmatch(r"v(\d+)", p.getName()))]
+        fs, names = self._fs(f"{self.root}/{name}")[0], self._begun(name)
         marker = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
         return sorted(n for n, p in names if fs.exists(marker(p)))
 
@@ -93,15 +99,23 @@ class Catalog:
             return None
         return max(self.versions(name), default=None)
 
-    def replace(self, name: str, df: DataFrame, kind: str | None = None, membership: tuple[str, ...] = ()) -> DataFrame:
-        """Writes df as the table's next version; columns in `membership` get Bloom filters in the files."""
+    def replace(self, name: str, df: DataFrame, kind: str | None = None, membership: tuple[str, ...] = (), after: int | None = None) -> DataFrame:
+        """Writes df as the table's next version; columns in `membership` get Bloom filters in the files. after: the
+        version that df was made from, by default the newest; it fails if there is a newer one by then."""
         if self.root is None:
             raise QueryError("this catalog has no folder to write to")
-        version = (self.version(name) or 0) + 1
-        writer = df.write.mode("overwrite")
+        after = (self.version(name) if after is None else after) or 0
+        version = max((n for n, _ in self._begun(name)), default=0) + 1
+        fs, claim = self._fs(f"{self.folder(name, version)}/_claim")
+        if not fs.createNewFile(claim):
+            raise QueryError(f"{name} is being written by another")
+        writer = df.write.mode("append")
         for column in membership:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(self.folder(name, version))
+        if any(v > after and v != version for v in self.versions(name)):
+            fs.delete(claim.getParent(), True)
+            raise QueryError(f"{name} was changed by another while this was written")
         self.loaders.pop(name, None)
         self.kinds[name] = kind or self.kinds.get(name, "document")
         return self.table(name)

@@ -269,3 +269,21 @@ def test_several_distinct_counts_of_all_rows_need_no_copies(spark):
     df = e.query("FOR s IN sales COLLECT AGGREGATE r = COUNT_DISTINCT(s.region), d = COUNT_DISTINCT(s.day), n = SUM(s.amount) RETURN {r, d, n}")
     assert [tuple(r) for r in df.collect()] == [(2, 3, 60.0)] and "Expand" not in df._jdf.queryExecution().toString()
     assert rows(e, "FOR s IN empty COLLECT AGGREGATE r = COUNT_DISTINCT(s.x), d = COUNT_DISTINCT(s._key) RETURN {r, d}") == []
+
+
+def test_a_writer_gives_up_when_another_was_faster(e):
+    e.catalog.replace("t", e.spark.range(3).toDF("k"))
+    read = e.catalog.version("t")
+    e.catalog.replace("t", e.spark.range(4).toDF("k"))
+    with pytest.raises(QueryError, match="changed by another"):
+        e.catalog.replace("t", e.spark.range(9).toDF("k"), after=read)
+    assert e.catalog.table("t").count() == 4
+    fs, claim = e.catalog._fs(f"{e.catalog.folder('t', 9)}/_claim")  # a writer that died
+    fs.createNewFile(claim)
+    e.catalog.replace("t", e.spark.range(5).toDF("k"))
+    assert e.catalog.table("t").count() == 5 and e.catalog.versions("t")[-1] == 10
+
+
+def test_columns_of_the_result_may_have_names_of_variables(e):
+    got = rows(e, "FOR u IN users FILTER u._key == 'u1' LET a = [3, 1, 2] LET n = 1 RETURN {a: 7, n: a |> MAP(x -> x + n), m: SUM(a), k: VARIANCE(a)}")
+    assert got == [(7, [4.0, 2.0, 3.0], 6.0, pytest.approx(2 / 3))]
