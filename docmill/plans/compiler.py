@@ -702,7 +702,7 @@ class Compiler:
         number, hit = fresh("row"), fresh("hit")
         first, *more = query.body
         if not (isinstance(first, t.For) and self.is_table(first.source, frame)) or not all(isinstance(c, (t.Filter, t.Let)) for c in more):
-            raise QueryError("this subquery can't be taken apart; bind its parts with LET or join first")
+            return self.attach_any(frame, query, wrapper, name)
         outer = replace(frame, df=saved(frame.df.withColumn(number, F.monotonically_increasing_id())))
         side = document(self.catalog.table(first.source.name), first.var)
         scope, tests = frame.scope | side.scope, []
@@ -738,6 +738,21 @@ class Compiler:
         df = joined.groupBy(number).agg(*(F.first(n).alias(n) for n in frame.types), made.col.alias(name)).drop(number)
         return replace(frame, df=df, types=frame.types | {name: made.type}), name
 
+    def attach_any(self, frame: Frame, query: t.Query, wrapper: str | None, name: str) -> tuple[Frame, str]:
+        """Any subquery: its clauses run over the numbered outer rows, whose number is a key that groupings keep apart."""
+        number = fresh("row")
+        outer = saved(frame.df.withColumn(number, F.monotonically_increasing_id()))
+        start = Frame(outer, frame.types | {number: LONG}, (*frame.keys, number), True, frame.known)
+        query = replace(query, extra={})
+        inner, returns = self.body(query, start)
+        inner, value = self.numbered(inner, query, returns, [number])
+        made = self.gathered(inner, value, wrapper)
+        grouped = inner.df.groupBy(number).agg(made.col.alias(name))
+        df = outer.join(grouped, number, "left").drop(number)
+        empty = of_nothing("LIST" if wrapper is None else OVER_ARRAYS.get(wrapper, "FIRST"), made.type)
+        df = df.withColumn(name, F.coalesce(name, empty)) if empty is not None else df
+        return replace(frame, df=df, types=frame.types | {name: made.type}), name
+
     def over_own_array(self, frame: Frame, query: t.Query) -> Value | None:
         """FOR x IN outer.array [FILTER ..] [LIMIT n] RETURN e: higher-order functions on the array, no rows at all."""
         if query.sort or not query.body or not isinstance(query.body[0], t.For):

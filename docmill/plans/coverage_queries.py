@@ -487,6 +487,12 @@ def anti_some(spark: SparkSession, sf_dir: str) -> DataFrame:
         FOR c IN customer FILTER LENGTH((FOR o IN orders FILTER o.o_custkey == c.c_custkey AND o.o_totalprice > 300000 AND o.o_orderstatus == "F" RETURN 1)) == 0 RETURN {k: c.c_custkey}""")
 
 
+add("subquery_theta_grouped", """
+    FOR n IN nation LET above = (FOR c IN customer FILTER c.c_nationkey == n.n_nationkey AND c.c_acctbal > n.n_nationkey * 300 JOIN orders ON orders.o_custkey == c.c_custkey COLLECT s = c.c_mktsegment WITH COUNT INTO m FILTER m > 1 SORT s LIMIT 3 RETURN $"${s}:${m}")
+    RETURN {k: n.n_nationkey, above, most: MAX((FOR c IN customer FILTER c.c_acctbal < n.n_nationkey * 100 COLLECT s = c.c_mktsegment WITH COUNT INTO m RETURN m))}""", """
+    WITH one AS (SELECT n_nationkey AS k, c_mktsegment AS s, count(*) AS m FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > n_nationkey * 300 WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1, 2),
+    two AS (SELECT n_nationkey AS k, c_mktsegment, count(*) AS m FROM nation JOIN customer ON c_acctbal < n_nationkey * 100 GROUP BY 1, 2)
+    SELECT n_nationkey AS k, coalesce((SELECT list(s || ':' || m ORDER BY s)[:3] FROM one WHERE one.k = n_nationkey AND m > 1), []) AS above, (SELECT CAST(max(m) AS DOUBLE) FROM two WHERE two.k = n_nationkey) AS most FROM nation""")
 add("subquery_plain", "FOR r IN region LET ns = FOR n IN nation FILTER n.n_regionkey == r.r_regionkey RETURN n.n_nationkey RETURN {k: r.r_regionkey, n: LENGTH(ns), s: SUM(ns)}", "SELECT r_regionkey AS k, count(n_nationkey) AS n, CAST(coalesce(sum(n_nationkey), 0) AS DOUBLE) AS s FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 
 
