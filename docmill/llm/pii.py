@@ -85,12 +85,18 @@ def luhn(payload: str) -> str:
     return str(-sum(d - 9 if d > 9 else d for d in doubled) % 10)
 
 
+def _issued(payload: int, digits: int) -> bool:
+    """Whether payment cards are issued with these first digits: 3 to 6, and 2221 to 2720."""
+    head = payload // 10 ** (digits - 4)
+    return 3000 <= head < 7000 or 2221 <= head <= 2720
+
+
 def _card(f: Feistel, text: str) -> str | None:
     d = _only(text)
-    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != d[-1] or len(set(d)) == 1:
-        return None
     n = len(d) - 1
-    payload = str(f.permute(f"card{n}", 10**n, int(d[:-1]))).zfill(n)
+    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != d[-1] or not _issued(int(d[:-1]), n):
+        return None
+    payload = str(f.permute(f"card{n}", 10**n, int(d[:-1]), lambda x: _issued(x, n))).zfill(n)
     return _fill(text, payload + luhn(payload))
 
 
@@ -268,7 +274,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """docs with private data in text_col replaced; all other columns as they are, plus `pii` spans of the old text.
 
     pii: array of (start, end, kind) in code points, in order. A value that passes its kind's checks (Luhn, IBAN check
-    digits, calendar, number plan, octets) is permuted among the values that pass them, in its own punctuation. A
+    digits, issuers of cards, calendar, number plan, octets) is permuted among the values that pass them, in its own punctuation. A
     permutation may leave a value where it is, at odds of one to the number of values of its format.
     Narrow map: no shuffle, a row at a time. Null texts stay null with pii null; empty texts stay empty with pii empty.
     Where docs has a column pii, ours is called pii_.
