@@ -6,13 +6,12 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import pick
@@ -22,11 +21,46 @@ SPACE, NONE = "▁", -(1 << 60)
 UNIT, SHIFT = 1_000_000, 1_000
 #: Words whose segmentation a worker remembers; the first ones seen are the frequent ones, so they are kept.
 REMEMBERED = 1_200_000
-SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, ids array<int>, text string"
+SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, decoded_crc32 long, ids array<int>, text string"
 #: Bytes of text in a batch of segmentations sent to Spark, unless one text is longer.
 BATCH = 4 << 20
 
 
+class Rows:
+    """Numbered rows of integers, and a run of integers for each, in arrays that grow."""
+
+    def __init__(self, columns: int):
+        self.n, self.used = 0, 0
+        self.facts, self.starts, self.pool = np.zeros((columns, 1024), np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+
+    def extend(self, facts: list[tuple[int, ...]], own: list[tuple[int, ...]]) -> int:
+        """The first new row's number. A row's last fact becomes the length of its run."""
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        total, first = int(sizes.sum()), self.n
+        while first + len(own) > len(self.starts):
+            self.facts, self.starts = np.concatenate((self.facts, self.facts), axis=1), np.concatenate((self.starts, self.starts))
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, self.pool))
+        self.n += len(own)
+        self.facts[:-1, first : self.n] = np.array(facts, np.int64).T
+        self.facts[-1, first : self.n] = sizes
+        self.starts[first : self.n] = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(own), np.int32, total)
+        self.used += total
+        return first
+
+    def cut(self, n: int) -> None:
+        """Forgets the rows from number n on."""
+        if n < self.n:
+            self.n, self.used = n, int(self.starts[n])
+
+
+def runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of these starts and sizes in a pool, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class PieceLattice:
     """Segmentations of a text into pieces of a SentencePiece file, scored by Zipf and Mandelbrot's law on the ranks.
 
@@ -58,7 +92,12 @@ class PieceLattice:
         for b, i in self.byte.items():
             self.text_of[i] = bytes([b])
         self.byte_score = -round((math.log(len(ranked) + SHIFT) + 2) * UNIT)
-        self.known: dict[str, tuple[int, int, tuple[int, ...], int]] = {}
+        self.bytes_size = np.array([len(x) for x in self.text_of])
+        self.bytes_start = np.cumsum(self.bytes_size) - self.bytes_size
+        self.bytes_pool = np.frombuffer(b"".join(self.text_of), np.uint8)
+        self.known: dict[str, int] = {}
+        #: By number of a known word: score, gap to the second best, bytes of the text and ids of its best segmentation.
+        self.rows = Rows(4)
         self.lists: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
     def in_bytes(self, char: str) -> tuple[tuple[int, ...], int] | None:
@@ -173,38 +212,28 @@ class PieceLattice:
         Sums over independent words: of the n best, none changes a word beyond the n - 1 words of smallest gap between
         best and second best (of equals, the first), so only those words are searched by A-star.
         """
-        words, known = self.words(text), self.known
+        words = self.words(text)
         if not words:
-            return [(0, np.empty(0, np.uint32), [])]
-        found = list(map(known.get, words))
-        for k, f in enumerate(found):
-            if f is None:
-                w = words[k]
-                if (f := known.get(w)) is None:
-                    f = self.viterbi(SPACE + w)
-                    if len(known) < REMEMBERED:
-                        known[w] = f
-                found[k] = f
-        scores, gaps, parts, bytes_of = zip(*found, strict=True)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+            return [(0, np.empty(0, np.int32), [])]
+        kept = self.rows.n
+        at = np.array(self.numbers(words), np.int64)
+        scores, gap, lengths, sizes = self.rows.facts[:, at]
+        flat = runs(self.rows.pool, self.rows.starts[at], sizes)
+        self.rows.cut(max(kept, min(self.rows.n, REMEMBERED)))
         ends = np.cumsum(sizes)
-        gap = np.array(gaps)
         near = np.argsort(gap, kind="stable")[: n - 1] if len(gap) <= 4 * n else self._smallest(gap, n - 1)
         chosen = sorted(int(k) for k in near if gap[k] < -NONE)
         lists = [self.listed(words[k], n) for k in chosen]
-        total = sum(scores)
-        base = total - sum(x[0][0] for x in lists)
+        base = int(scores.sum()) - sum(x[0][0] for x in lists)
         picks = self._combine(lists, n)
         whole = self.decode(flat)
-        lengths = np.array(bytes_of)
         bytes_end = np.cumsum(lengths)
         out = []
         for pick_ in picks:
             pieces, slices, at, byte_at = [], [], 0, 0
             for k, options, r in zip(chosen, lists, pick_, strict=True):
                 a, b = int(ends[k] - sizes[k]), int(bytes_end[k] - lengths[k])
-                pieces += flat[at:a], np.array(options[r][1], np.uint32)
+                pieces += flat[at:a], np.array(options[r][1], np.int32)
                 slices += whole[byte_at:b], self.decode_part(options[r][1])
                 at, byte_at = int(ends[k]), int(bytes_end[k])
             pieces.append(flat[at:])
@@ -213,6 +242,19 @@ class PieceLattice:
             out.append((score, np.concatenate(pieces), slices))
         return out
 
+    def numbers(self, words: list[str]) -> list[int]:
+        """The words' rows; those beyond the bound of what is remembered have theirs for this text alone."""
+        known = self.known
+        found = list(map(known.get, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, number in zip(words, found, strict=True) if number is None))
+            best = [self.viterbi(SPACE + w) for w in new]
+            first = self.rows.extend([(score, gap, size) for score, gap, _, size in best], [ids for _, _, ids, _ in best])
+            here = dict(zip(new, range(first, first + len(new)), strict=True))
+            known.update(islice(here.items(), max(0, REMEMBERED - first)))
+            found = [here[w] if number is None else number for w, number in zip(words, found, strict=True)]
+        return found
+
     @staticmethod
     def _smallest(gap: np.ndarray, n: int) -> np.ndarray:
         """Positions of the n smallest, of equals the first."""
@@ -242,7 +284,7 @@ class PieceLattice:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of ids, with the space that encoding puts before the first word."""
-        return b"".join(map(self.text_of.__getitem__, ids.tolist()))
+        return runs(self.bytes_pool, self.bytes_start[ids], self.bytes_size[ids]).tobytes()
 
 
 _loaded: dict[str, PieceLattice] = {}
@@ -256,20 +298,22 @@ def lattice(path: str) -> PieceLattice:
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Up to n rows per document, best segmentation first: doc_id, rank (from 1), score, n_ids, ids_crc32, ids, text, decoded_crc32.
+    """Up to n rows per document, best segmentation first: doc_id, rank (from 1), score, n_ids, ids_crc32, decoded_crc32, ids, text.
 
-    ids_crc32: unsigned, of little-endian unsigned 32-bit ids. text: what decoding the ids gives; it is the text itself,
-    except that U+2581 reads back as a space. decoded_crc32: of text in UTF-8. Narrow map over whole texts, no shuffle.
+    Of equal scores, the segmentation that the search meets first, which is the same in every run. ids_crc32: unsigned,
+    of little-endian unsigned 32-bit ids. text, in the row of rank 1: what decoding the ids gives; it is the text itself,
+    except that U+2581 reads back as a space. The other ranks' ids give the same, so their rows have null there; what
+    each gives is in decoded_crc32, of UTF-8, and decode() makes it anew. Narrow map over whole texts, no shuffle.
 
     Null and empty texts: one segmentation without ids. Repeated rows and null ids: each row on its own.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def rows(out: list[tuple], ids: list[np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
+    def rows(out: list[tuple], ids: list[np.ndarray], texts: list[bytes | None]) -> pa.RecordBatch:
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
         return pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts, pa.binary()).cast(pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,18 +322,18 @@ def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
             out, all_ids, texts, held = [], [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for rank, (score, ids, slices) in enumerate(model.encode(text.as_py() or "", n), 1):
-                    out.append((doc_id, rank, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    whole = b"".join(slices)[1:]
+                    out.append((doc_id, rank, score / UNIT, len(ids), zlib.crc32(ids.astype("<i4", copy=False)), zlib.crc32(whole)))
                     all_ids.append(ids)
-                    texts.append(b"".join(slices)[1:])
-                    held += len(texts[-1])
+                    texts.append(whole if rank == 1 else None)
+                    held += len(whole)
                     if held >= BATCH:
                         yield rows(out, all_ids, texts)
                         out, all_ids, texts, held = [], [], [], 0
             if out:
                 yield rows(out, all_ids, texts)
 
-    found = pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
-    return found.withColumn("decoded_crc32", F.crc32("text"))
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

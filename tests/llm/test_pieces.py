@@ -121,9 +121,21 @@ def test_ids_and_text_leave_and_ids_decode(spark):
     assert {r.doc_id for r in out} == {1, 2, 3, 4, 5}
     for r in out:
         want = (dict(rows)[r.doc_id] or "").replace("▁", " ")
-        assert r.text == want and MODEL.decode(np.array(r.ids, np.uint32))[1:].decode() == want and r.decoded_crc32 == zlib.crc32(want.encode())
+        assert r.text == (want if r["rank"] == 1 else None) and MODEL.decode(np.array(r.ids, np.uint32))[1:].decode() == want and r.decoded_crc32 == zlib.crc32(want.encode())
         assert len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
     decoded = pieces.decode(found.select("doc_id", "rank", "ids"), PATH).collect()
-    assert {(r.doc_id, r["rank"]): r.text for r in decoded} == {(r.doc_id, r["rank"]): r.text for r in out}
+    assert {(r.doc_id, r["rank"]): r.text for r in decoded} == {(r.doc_id, r["rank"]): (dict(rows)[r.doc_id] or "").replace("▁", " ") for r in out}
     odd = spark.createDataFrame([(1, None), (2, []), (3, [MODEL.byte[0xE6]]), (4, [None])], "k int, ids array<int>")
     assert [r.text for r in pieces.decode(odd, PATH).orderBy("k").collect()] == [None, "", "\ufffd", None]
+
+
+def test_words_beyond_the_bound_are_the_same(monkeypatch):
+    texts = [" ".join(words(300, n, 5000)) for n in range(6)] + ["é  x", "", " "]
+    want = [MODEL.encode(t, 3) for t in texts]
+    small = pieces.PieceLattice(PATH)
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    for _ in range(2):
+        for t, w in zip(texts, want, strict=True):
+            got = small.encode(t, 3)
+            assert [(s, ids.tolist(), b"".join(x)) for s, ids, x in got] == [(s, ids.tolist(), b"".join(x)) for s, ids, x in w]
+    assert small.rows.n == len(small.known) == 100
