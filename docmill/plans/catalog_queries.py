@@ -376,16 +376,24 @@ def materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("REFRESH MATERIALIZED VIEW priorities")
 
 
-@added("stream_tumbling", "SELECT event_type AS k, date_trunc('hour', ts) AS at, count(*) AS n, round(sum(value), 2) AS s FROM events WHERE value > 10 GROUP BY ALL")
-def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as one stream, until it is used up; every window is written when it last changed."""
+def event_stream(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A windowed stream of the events by k and at. Each batch writes the windows that it changed, and state older than
+    the watermark goes; of a window that several batches wrote, the last batch counts."""
+    from ..lang.parser import parse
+
     e, folder = engine(spark, sf_dir), scratch(spark)
     path = f"{sf_dir}/events.parquet"
     e.streams["events"] = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    from ..lang.parser import parse
+    df, _ = streams.compiled(e, parse(text))
+    keep = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")  # noqa: E731  the same when it runs again
+    df.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    last = rows.groupBy("k", "at").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("k", "at", "batch"))), "batch").alias("last"))
+    return last.select("k", F.col("at").cast("timestamp_ntz").alias("at"), "last.*")
+
 
+@added("stream_tumbling", "SELECT event_type AS k, date_trunc('hour', ts) AS at, count(*) AS n, round(sum(value), 2) AS s FROM events WHERE value > 10 GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one stream, until it is used up."""
     text = 'FOR e IN events FILTER e.value > 10 WINDOW TUMBLING (SIZE "1h") COLLECT k = e.event_type WITH COUNT INTO n AGGREGATE s = SUM(e.value) RETURN {k, at: window_start, n, s: ROUND(s, 2)}'
-    df, _ = streams.compiled(e, parse(text))
-    keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    df.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return event_stream(spark, sf_dir, text)

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phonetic, registry
-from ..lang.parser import parse
 from ..operators import graph, mutations, search
 from ..operators.columnar import Columnar
 from ..sources import transfer
 from ..streaming import streams
-from .catalog_queries import COSINE, add, added, engine, keyed, scratch
+from .catalog_queries import COSINE, add, added, engine, event_stream, keyed, scratch
 
 # -- strings
 
@@ -444,14 +443,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @added("stream_sliding", """
     SELECT event_type AS k, w AS at, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
-    path = f"{sf_dir}/events.parquet"
-    e.streams["events"] = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    folder = scratch(spark)
-    df, _ = streams.compiled(e, parse('FOR e IN events WINDOW SLIDING (SIZE "2h", SLIDE "1h") COLLECT k = e.event_type WITH COUNT INTO n RETURN {k, at: window_start, n}'))
-    keep = lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    df.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return event_stream(spark, sf_dir, 'FOR e IN events WINDOW SLIDING (SIZE "2h", SLIDE "1h") COLLECT k = e.event_type WITH COUNT INTO n RETURN {k, at: window_start, n}')
 
 
 @added("live_query_and_trigger", "SELECT (SELECT count(*) FROM nation) AS live, count(*) FILTER (event_id % 7 = 0) AS deleted, true AS stopped FROM events")
