@@ -92,12 +92,20 @@ def check_collection(catalog, collection: str, df: DataFrame, updating: bool = F
             raise QueryError("edges need _from and _to")
 
 
-def written(catalog, collection: str, kept: DataFrame, new: DataFrame, after: int | None = None) -> None:
-    """The collection's next version, after one that was read: kept rows as they were and new ones, which keep its unique indexes."""
+def written(catalog, collection: str, keys: DataFrame, new: DataFrame, after: int | None = None) -> None:
+    """The collection's next version, after one that was read: without the rows of these keys, with new ones, which keep its
+    unique indexes. Where the new rows have the collection's columns and types, files without such a key stay as they are."""
+    table = catalog.table(collection)
+    kept = table.join(keys.select("_key"), "_key", "left_anti")
     for columns in catalog.unique.get(collection, ()):
         if set(columns) <= set(new.columns):
             check_unique(collection, kept, new, columns)
-    catalog.replace(collection, merged(kept, new), after=after)
+    both = merged(table, new)
+    types = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if collection in catalog.loaders or types(both) != types(table):
+        catalog.replace(collection, merged(kept, new), after=after)
+    else:
+        catalog.exchange(collection, keys, fitted(new, table).select(*(F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields)), after)
 
 
 def check_unique(collection: str, kept: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> None:
@@ -122,9 +130,9 @@ def insert(compiler, frame, c: t.Insert):
     check_collection(catalog, c.collection, new)
     if catalog.has(c.collection) and "_key" in catalog.table(c.collection).columns and "_key" in doc.type.fieldNames():
         last = fixed.withColumn("__n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("__at")))).where("__n = 1").drop("__n", "__at")
-        written(catalog, c.collection, catalog.table(c.collection).join(new.select("_key"), "_key", "left_anti"), last)
+        written(catalog, c.collection, new, last)
     elif catalog.has(c.collection) and catalog.unique.get(c.collection):
-        written(catalog, c.collection, catalog.table(c.collection), new)
+        written(catalog, c.collection, new.limit(0), new)
     else:
         for columns in catalog.unique.get(c.collection, ()):
             check_unique(c.collection, new.limit(0), new, columns)
@@ -187,7 +195,7 @@ def update(compiler, frame, c: t.Update):
     read = catalog.version(c.collection)
     check_collection(catalog, c.collection, table, updating=True)
     done = saved(applied(table, changes_by_key(compiler, frame, c.selector, c.changes)))
-    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"), read)
+    written(catalog, c.collection, done, done.drop("__old"), read)
     return changed_frame(done), {"updated": done.count()}
 
 
@@ -198,7 +206,7 @@ def remove(compiler, frame, c: t.Remove):
     read = catalog.version(c.collection)
     keys = changes_by_key(compiler, frame, c.selector, None)
     gone = saved(table.join(keys, table["_key"] == keys["__key"], "left_semi"))
-    catalog.replace(c.collection, table.join(gone.select("_key"), "_key", "left_anti").select(*table.columns), after=read)
+    written(catalog, c.collection, gone, table.limit(0), read)
     return Frame(gone.select(F.struct("*").alias("OLD")), {"OLD": gone.schema}, (), True), {"removed": gone.count()}
 
 
@@ -232,7 +240,7 @@ def upsert(compiler, frame, c: t.Upsert):
     inserted = merged(fresh.join(twice.select("_key"), "_key", "left_anti"), twice) if "_key" in new.type.fieldNames() else fresh
     updated = applied(table, known, c.replace)
     done = saved(merged(updated, inserted))
-    written(catalog, c.collection, table.join(done.select("_key"), "_key", "left_anti"), done.drop("__old"), read)
+    written(catalog, c.collection, done, done.drop("__old"), read)
     n_new = fresh.count()
     return changed_frame(done), {"inserted": n_new, "updated": rows.count() - n_new}
 

@@ -20,7 +20,8 @@ def utc(df: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Named DataFrames. With a root folder, tables can be written: every rewrite is a new version folder.
+    """Named DataFrames. With a root folder, tables can be written: every change is a new version folder, which holds the
+    files that changed and the list of those of older versions that still count.
 
     A version counts once Spark's commit marker is in it, so a write that dies leaves the table as it was, and a query may
     read a table that it replaces. A writer claims its version's number, and gives up if another one has committed since
@@ -68,7 +69,9 @@ class Catalog:
             return self.loaders[name]()
         if (v := self.version(name)) is None:
             raise QueryError(f"no collection {name}")
-        return self.spark.read.parquet(self.folder(name, v))
+        own = self.spark.read.parquet(self.folder(name, v))
+        kept = self._kept(name, v)
+        return self.spark.read.schema(own.schema).parquet(self.folder(name, v), *(f"{self.root}/{name}/{p}" for p in kept)) if kept else own
 
     def names(self) -> Iterator[str]:
         yield from self.loaders
@@ -99,9 +102,28 @@ class Catalog:
             return None
         return max(self.versions(name), default=None)
 
-    def replace(self, name: str, df: DataFrame, kind: str | None = None, membership: tuple[str, ...] = (), after: int | None = None) -> DataFrame:
+    def _kept(self, name: str, version: int) -> list[str]:
+        """Files of older versions that belong to a version, as v000001/part-…"""
+        fs, path = self._fs(f"{self.folder(name, version)}/_kept")
+        if not fs.exists(path):
+            return []
+        stream = fs.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text.split()
+
+    def files(self, name: str) -> list[str]:
+        """The data files of the newest version, as v000001/part-…"""
+        if (version := self.version(name)) is None:
+            return []
+        fs, path = self._fs(self.folder(name, version))
+        own = [s.getPath().getName() for s in fs.listStatus(path)]
+        return [f"{path.getName()}/{x}" for x in own if not x.startswith(("_", "."))] + self._kept(name, version)
+
+    def replace(self, name: str, df: DataFrame, kind: str | None = None, membership: tuple[str, ...] = (), after: int | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
         """Writes df as the table's next version; columns in `membership` get Bloom filters in the files. after: the
-        version that df was made from, by default the newest; it fails if there is a newer one by then."""
+        version that df was made from, by default the newest; it fails if there is a newer one by then. kept: files of
+        older versions that belong to the new one too."""
         if self.root is None:
             raise QueryError("this catalog has no folder to write to")
         after = (self.version(name) if after is None else after) or 0
@@ -109,6 +131,10 @@ class Catalog:
         fs, claim = self._fs(f"{self.folder(name, version)}/_claim")
         if not fs.createNewFile(claim):
             raise QueryError(f"{name} is being written by another")
+        if kept:
+            out = fs.create(self._fs(f"{self.folder(name, version)}/_kept")[1])
+            out.write(bytearray("\n".join(kept).encode()))
+            out.close()
         writer = df.write.mode("append")
         for column in membership:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -120,6 +146,23 @@ class Catalog:
         self.kinds[name] = kind or self.kinds.get(name, "document")
         return self.table(name)
 
+    def exchange(self, name: str, keys: DataFrame, new: DataFrame, after: int | None = None) -> DataFrame:
+        """The table's next version without the rows of these `_key`s and with new rows, which have the table's columns and
+        types. Only files that hold one of the keys are read whole and written again; of the others, `_key` is read."""
+        table = self.table(name)
+        held = table.select("_key", F.col("_metadata.file_path").alias("__file")).join(keys.select("_key"), "_key", "left_semi").select("__file").distinct()
+        touched = {"/".join(r[0].rsplit("/", 2)[1:]) for r in held.collect()}
+        kept = tuple(p for p in self.files(name) if p not in touched)
+        rows = new
+        if touched:
+            old = self.spark.read.schema(table.schema).parquet(*(f"{self.root}/{name}/{p}" for p in sorted(touched)))
+            rows = old.join(keys.select("_key"), "_key", "left_anti").select(*table.columns).unionByName(new)
+        return self.replace(name, rows, after=after, kept=kept)
+
+    def compact(self, name: str) -> DataFrame:
+        """The newest version's rows in files of its own."""
+        return self.replace(name, self.table(name))
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """Adds rows to the newest version; a table that only is registered is written whole first."""
         version = self.version(name)
@@ -136,6 +179,17 @@ class Catalog:
         return self.replace(name, self.table(name).limit(0))
 
     def vacuum(self, name: str, keep: int = 1) -> None:
+        """Deletes older versions, but for the files that the remaining ones keep."""
         fs, _ = self._fs(f"{self.root}/{name}")
-        for v in self.versions(name)[:-keep]:
-            fs.delete(self._fs(self.folder(name, v))[1], True)
+        found = self.versions(name)
+        used = {p for v in found[-keep:] for p in self._kept(name, v)}
+        for _, path in self._begun(name):
+            version = path.getName()
+            if int(version[1:]) in found[-keep:] or int(version[1:]) > max(found, default=0):
+                continue
+            if not any(p.startswith(f"{version}/") for p in used):
+                fs.delete(path, True)
+                continue
+            for status in fs.listStatus(path):
+                if f"{version}/{status.getPath().getName()}" not in used:
+                    fs.delete(status.getPath(), True)

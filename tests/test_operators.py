@@ -287,3 +287,24 @@ def test_a_writer_gives_up_when_another_was_faster(e):
 def test_columns_of_the_result_may_have_names_of_variables(e):
     got = rows(e, "FOR u IN users FILTER u._key == 'u1' LET a = [3, 1, 2] LET n = 1 RETURN {a: 7, n: a |> MAP(x -> x + n), m: SUM(a), k: VARIANCE(a)}")
     assert got == [(7, [4.0, 2.0, 3.0], 6.0, pytest.approx(2 / 3))]
+
+
+def test_only_files_that_hold_a_changed_key_are_written_again(e):
+    rows_ = e.spark.range(100).selectExpr("lpad(id, 3, '0') AS _key", "id AS n").repartitionByRange(5, "_key")
+    e.catalog.replace("t", rows_)
+    before = set(e.catalog.files("t"))
+    e.query('FOR x IN t FILTER x._key == "007" UPDATE x WITH {n: -1} IN t')
+    kept = set(e.catalog.files("t")) & before
+    assert len(kept) == len(before) - 1 == 4
+    e.query('REMOVE "099" IN t')
+    assert len(set(e.catalog.files("t")) & before) == 3
+    got = dict(rows(e, "FOR x IN t RETURN {k: x._key, n: x.n}"))
+    assert got == {f"{i:03d}": i for i in range(99)} | {"007": -1}
+    e.catalog.vacuum("t")
+    assert dict(rows(e, "FOR x IN t RETURN {k: x._key, n: x.n}")) == got and len(e.catalog.versions("t")) == 1
+    e.query('FOR x IN t FILTER x.n > 90 REMOVE x IN t')
+    e.catalog.compact("t")
+    e.catalog.vacuum("t")
+    assert len(rows(e, "FOR x IN t RETURN x")) == 91 and all(f.startswith(f"v{e.catalog.version('t'):06d}/") for f in e.catalog.files("t"))
+    e.query('FOR x IN t UPDATE x WITH {tag: "wide"} IN t')  # another column: the whole table is written
+    assert set(rows(e, "FOR x IN t RETURN x.tag")) == {"wide"}
