@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,43 @@ def vector_search(df: DataFrame, field: str, query: Sequence[float], k: int = 10
     return scored.orderBy(F.desc("score"), *([order] if order else [])).limit(k)
 
 
+class VectorIndex:
+    """Rows by the nearest of a number of centroids, one folder each: a search reads the folders near the query only.
+
+    Searches without an index stay exact; so is this one if it probes every list.
+    """
+
+    def __init__(self, spark, folder: str, field: str, centroids: list[list[float]], metric: str):
+        self.spark, self.folder, self.field, self.centroids, self.metric = spark, folder, field, centroids, metric
+
+    @classmethod
+    def build(cls, df: DataFrame, field: str, folder: str, metric: str = "cosine", lists: int | None = None) -> VectorIndex:
+        """Centroids come from a sample of 256 rows a list; every row with a vector is indexed. By default there are as
+        many lists as the root of the rows, 4,096 at most."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        rows = df.where(F.col(field).isNotNull())
+        n = rows.count()
+        lists = lists or max(1, min(4096, round(math.sqrt(n))))
+        vectors = lambda x: x.withColumn("__x", array_to_vector(F.col(field).cast("array<double>")))
+        sample = vectors(rows.sample(min(1.0, 256 * lists / n), seed=7) if n > 256 * lists else rows)
+        model = KMeans(featuresCol="__x", predictionCol="__list", k=max(2, lists), seed=7, maxIter=10, distanceMeasure="cosine" if metric == "cosine" else "euclidean").fit(sample)
+        placed = model.transform(vectors(rows)).drop("__x")
+        placed.repartition(F.col("__list"), F.pmod(F.xxhash64(field), F.lit(max(1, n // (lists * 1_000_000))))).write.mode("overwrite").partitionBy("__list").parquet(folder)
+        return cls(df.sparkSession, folder, field, [c.tolist() for c in model.clusterCenters()], metric)
+
+    def search(self, query: Sequence[float], k: int = 10, probes: int = 8, order: str | None = None) -> DataFrame:
+        """The k nearest rows of the `probes` lists whose centroids are nearest, with `score`."""
+        q = [float(x) for x in query]
+        length = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+        inner = lambda c: sum(a * b for a, b in zip(q, c, strict=True))
+        near = {"cosine": lambda c: inner(c) / length(c), "dot": inner, "euclidean": lambda c: -sum((a - b) ** 2 for a, b in zip(q, c, strict=True))}[self.metric]
+        chosen = sorted(range(len(self.centroids)), key=lambda i: -near(self.centroids[i]))[:probes]
+        rows = self.spark.read.parquet(self.folder).where(F.col("__list").isin(chosen)).drop("__list")
+        return vector_search(rows, self.field, q, k, self.metric, order)
+
+
 def vector_stats(df: DataFrame, field: str) -> DataFrame:
     """One row about a vector column: how many there are, their lengths and norms."""
     v = F.col(field).cast("array<double>")
@@ -144,8 +182,6 @@ def near(df: DataFrame, lat: str, lon: str, at: tuple[float, float], k: int) ->
 
 def within_radius(df: DataFrame, lat: str, lon: str, at: tuple[float, float], metres: float) -> DataFrame:
     """Places within a radius; a latitude band, which reaches the scan, comes before the exact distance."""
-    import math
-
     from ..functions.geo import EARTH_RADIUS, haversine
 
     band = math.degrees(metres / EARTH_RADIUS) * 1.0000001

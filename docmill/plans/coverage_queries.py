@@ -232,6 +232,16 @@ def quantised_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.quantised_search(coded, low, high, "embedding", query, 10, rerank=40).select("vec_id", F.round("score", 5).alias("score"))
 
 
+@added("vector_index", f"""
+    WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings) SELECT e.vec_id, round({COSINE}, 5) AS score FROM v e, v q WHERE q.vec_id = 1 ORDER BY {COSINE} DESC, e.vec_id LIMIT 20""")
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by lists of an index, all of which are probed, so that it must equal the exact one."""
+    df, folder = engine(spark, sf_dir).catalog.table("embeddings"), scratch(spark)
+    query = df.where("vec_id = 1").first().embedding
+    index = search.VectorIndex.build(df, "embedding", f"{folder}/lists", lists=16)
+    return index.search(query, 20, probes=16, order="vec_id").select("vec_id", F.round("score", 5).alias("score"))
+
+
 WORD_LISTS = r"(SELECT doc_id, [x FOR x IN string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\x20\x09-\x0D]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') IF x <> ''] AS w FROM documents)"
 
 

@@ -308,3 +308,20 @@ def test_only_files_that_hold_a_changed_key_are_written_again(e):
     assert len(rows(e, "FOR x IN t RETURN x")) == 91 and all(f.startswith(f"v{e.catalog.version('t'):06d}/") for f in e.catalog.files("t"))
     e.query('FOR x IN t UPDATE x WITH {tag: "wide"} IN t')  # another column: the whole table is written
     assert set(rows(e, "FOR x IN t RETURN x.tag")) == {"wide"}
+
+
+def test_vector_index_reads_few_lists(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    middles = [[r.gauss(0, 1) for _ in range(6)] for _ in range(20)]
+    df = spark.createDataFrame([(i, [m + 0.1 * r.gauss(0, 1) for m in middles[i % 20]]) for i in range(800)] + [(900, None)], "k long, v array<double>")
+    for metric in ("cosine", "euclidean"):
+        index = search.VectorIndex.build(df, "v", f"file://{tmp_path}/{metric}", metric, lists=20)
+        hit = 0
+        for q in (df.where(f"k = {i}").first().v for i in range(5)):
+            exact = [x.k for x in search.vector_search(df, "v", q, 10, metric, "k").collect()]
+            found = index.search(q, 10, probes=3, order="k")
+            hit += len(set(exact) & {x.k for x in found.collect()})
+            assert [x.k for x in index.search(q, 10, probes=20, order="k").collect()] == exact
+        assert hit >= 45 and "PartitionFilters: [" in found._jdf.queryExecution().toString()
