@@ -624,7 +624,7 @@ class Compiler:
             elif wrapper is not None and query.limit is None and query.offset is None:
                 query = replace(query, sort=(), extra={})
             inner, returns = self.body(query, Frame(self.spark.range(1).select(), {}))
-            inner, value = self.numbered(inner, query, returns, [])
+            inner, value = self.numbered(frame, inner, query, returns, [])
             made = self.gathered(inner, value, wrapper)
             df = inner.df.agg(made.col.alias(name))
             out = frame.df.crossJoin(df)
@@ -643,7 +643,7 @@ class Compiler:
         parted = inner.df.withColumns({k.right: k.made for k in joined})
         inner = replace(inner, df=parted, types=inner.types | {k.right: parted.schema[k.right].dataType for k in joined})
         by = [k.right for k in joined]
-        inner, value = self.numbered(inner, core, returns, by)
+        inner, value = self.numbered(frame, inner, core, returns, by)
         made = self.gathered(inner, value, wrapper)
         grouped = inner.df.groupBy(*by).agg(made.col.alias(name))
         df = frame.df.join(grouped, [k.on for k in joined], "left").drop(*(k.right for k in joined))
@@ -652,7 +652,7 @@ class Compiler:
             df = df.withColumn(name, F.coalesce(name, empty))
         return replace(frame, df=df, types=frame.types | {name: made.type}), name
 
-    def numbered(self, inner: Frame, query: t.Query, returns: t.Node, keys: list[str]) -> tuple[Frame, Value]:
+    def numbered(self, frame: Frame, inner: Frame, query: t.Query, returns: t.Node, keys: list[str]) -> tuple[Frame, Value]:
         """The returned value per row, after SORT and LIMIT within each set of keys; `__rank` where there is an order."""
         sort = query.extra.get("sort", query.sort)
         offset, limit = query.extra.get("limits", (query.offset, query.limit))
@@ -662,6 +662,7 @@ class Compiler:
         for e, rising in sort:
             v = self.expr(e, inner.scope)
             order.append(v.col.asc_nulls_first() if rising else v.col.desc_nulls_last())
+        order += self.ties(frame, inner, query, returns) if order else []
         if not order and limit is None and offset is None:
             return inner, value
         if not keys and (limit is not None or offset is not None):
@@ -683,6 +684,19 @@ class Compiler:
             inner = inner.where(F.col("__rank") <= first + self.whole(limit))
         return inner, value
 
+    def ties(self, frame: Frame, inner: Frame, query: t.Query, returns: t.Node) -> list[Column]:
+        """What rows follow that SORT leaves equal: the documents' `_key`, then what RETURN reads of them, so that the
+        result doesn't hang on how a table's rows lie in files and tasks. Elements of arrays keep their places."""
+        loops = [c for c in query.body if isinstance(c, (t.For, t.Traverse, t.ShortestPath))]
+        tables = [c.var for c in loops if isinstance(c, t.For) and self.is_table(c.source, frame)]
+        scope = inner.scope
+        read = [t.Field(t.Var(n), "_key") for n in tables if n in scope and scope[n].is_object]
+        if len(tables) == len(loops):
+            made = own_names(query) | (scope.keys() - frame.types.keys())
+            read += [e for e in _reads(returns) if t.free_names(e) <= made & scope.keys()]
+        values = [self.expr(e, scope, safe=True) for e in dict.fromkeys(read)]
+        return [v.col.asc_nulls_first() for v in values if _orderable(v.type)]
+
     @staticmethod
     def gathered(inner: Frame, value: Value, wrapper: str | None) -> Value:
         """The wrapper's aggregate of the rows' values, or their array, in rank order where rows are ranked."""
@@ -745,7 +759,7 @@ class Compiler:
         start = Frame(outer, frame.types | {number: LONG}, (*frame.keys, number), True, frame.known)
         query = replace(query, extra={})
         inner, returns = self.body(query, start)
-        inner, value = self.numbered(inner, query, returns, [number])
+        inner, value = self.numbered(frame, inner, query, returns, [number])
         made = self.gathered(inner, value, wrapper)
         grouped = inner.df.groupBy(number).agg(made.col.alias(name))
         df = outer.join(grouped, number, "left").drop(number)
@@ -1069,6 +1083,20 @@ def _path(base: t.Node, path) -> t.Node:
     return base
 
 
+def _reads(e: t.Node) -> list[t.Node]:
+    """The variables that an expression reads, as single fields where it reads only those."""
+    fields = [n for n in t.walk(e) if isinstance(n, t.Field) and isinstance(n.base, t.Var)]
+    whole = {n for n in t.free_names(e) if uses(n, e) > sum(f.base.name == n for f in fields)}
+    return [f for f in fields if f.base.name not in whole] + [t.Var(n) for n in sorted(whole)]
+
+
+def _orderable(type_: T.DataType) -> bool:
+    """Whether rows can be sorted by values of this type."""
+    if isinstance(type_, T.StructType):
+        return all(_orderable(f.dataType) for f in type_.fields)
+    return _orderable(type_.elementType) if isinstance(type_, T.ArrayType) else not isinstance(type_, (T.MapType, T.VariantType, T.NullType))
+
+
 def _meeting(a: Value, b: Value) -> T.DataType:
     """The type in which both sides of an equality are compared."""
     return T.TimestampType() if a.is_time or b.is_time else common_of(a, b)
