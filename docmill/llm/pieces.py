@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +24,53 @@ REMEMBERED = 1_200_000
 SCHEMA = "doc_id long, rank int, score double, n_ids long, ids_crc32 long, decoded_crc32 long, ids array<int>, text string"
 #: Bytes of text in a batch of segmentations sent to Spark, unless one text is longer.
 BATCH = 4 << 20
+#: Characters of text whose words are looked up at once.
+CHUNK = 1 << 20
+#: Longer words, and fewer new words than these, are segmented one by one.
+LONG, FEW = 64, 100
 
 
 class Rows:
-    """Numbered rows of integers, and a run of integers for each, in arrays that grow."""
-
-    def __init__(self, columns: int):
-        self.n, self.used = 0, 0
-        self.facts, self.starts, self.pool = np.zeros((columns, 1024), np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
-
-    def extend(self, facts: list[tuple[int, ...]], own: list[tuple[int, ...]]) -> int:
-        """The first new row's number. A row's last fact becomes the length of its run."""
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        total, first = int(sizes.sum()), self.n
-        while first + len(own) > len(self.starts):
-            self.facts, self.starts = np.concatenate((self.facts, self.facts), axis=1), np.concatenate((self.starts, self.starts))
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate((self.pool, self.pool))
-        self.n += len(own)
-        self.facts[:-1, first : self.n] = np.array(facts, np.int64).T
-        self.facts[-1, first : self.n] = sizes
-        self.starts[first : self.n] = self.used + np.cumsum(sizes) - sizes
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(own), np.int32, total)
-        self.used += total
-        return first
+    """Numbered rows: integer facts, and for each pool of the given types the length and the start of a run there; they grow."""
+
+    def __init__(self, facts: int, *types: type):
+        self.n, self.facts, self.used = 0, facts, [0] * len(types)
+        self.table, self.pools = np.zeros((1024, facts + 2 * len(types)), np.int64), [np.zeros(4096, x) for x in types]
+
+    def extend(self, facts: np.ndarray, *own: tuple[np.ndarray, np.ndarray]) -> None:
+        """Adds rows: a column of facts for each; for each pool, the lengths of their runs and the runs one after another."""
+        total = self.n + facts.shape[1]
+        self.table = _room(self.table, self.n, total)
+        new = self.table[self.n : total]
+        new[:, : self.facts] = facts.T
+        for k, (sizes, run) in enumerate(own):
+            used = self.used[k]
+            self.pools[k] = _room(self.pools[k], used, used + len(run))
+            self.pools[k][used : used + len(run)] = run
+            new[:, self.facts + 2 * k] = sizes
+            new[:, self.facts + 2 * k + 1] = used + np.cumsum(sizes) - sizes
+            self.used[k] = used + len(run)
+        self.n = total
+
+    def read(self, numbers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of rows of these numbers: a column of facts and lengths of runs for each; for each pool, the runs one after another."""
+        found = np.ascontiguousarray(np.take(self.table, numbers, axis=0).T)
+        at = range(self.facts, len(found), 2)
+        return found[[*range(self.facts), *at]], [runs(pool, found[k + 1], found[k]) for k, pool in zip(at, self.pools, strict=True)]
 
     def cut(self, n: int) -> None:
         """Forgets the rows from number n on."""
         if n < self.n:
-            self.n, self.used = n, int(self.starts[n])
+            self.n, self.used = n, self.table[n, self.facts + 1 :: 2].tolist()
+
+
+def _room(array: np.ndarray, used: int, needed: int) -> np.ndarray:
+    """The array, or one that holds what is used of it and has room for what is needed."""
+    if needed <= len(array):
+        return array
+    out = np.empty((max(needed, 2 * len(array)), *array.shape[1:]), array.dtype)
+    out[:used] = array[:used]
+    return out
 
 
 def runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -61,6 +79,24 @@ def runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+class Numbers(dict):
+    """Words to their rows. Reading a word that isn't there gives it the next row, and notes it as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def cut(self, n: int) -> None:
+        """Notes no word as new any more, and forgets those of them from row n on."""
+        for word in self.new[max(0, n - len(self) + len(self.new)) :]:
+            del self[word]
+        self.new = []
+
+
 class PieceLattice:
     """Segmentations of a text into pieces of a SentencePiece file, scored by Zipf and Mandelbrot's law on the ranks.
 
@@ -95,11 +131,32 @@ class PieceLattice:
         self.bytes_size = np.array([len(x) for x in self.text_of])
         self.bytes_start = np.cumsum(self.bytes_size) - self.bytes_size
         self.bytes_pool = np.frombuffer(b"".join(self.text_of), np.uint8)
-        self.known: dict[str, int] = {}
-        #: By number of a known word: score, gap to the second best, bytes of the text and ids of its best segmentation.
-        self.rows = Rows(4)
+        self._number_nodes()
+        self.known = Numbers()
+        #: By number of a known word: score, gap to the second best; ids of its best segmentation and what they decode to.
+        self.rows = Rows(2, np.int32, np.uint8)
         self.lists: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
+    def _number_nodes(self) -> None:
+        """The trie in arrays: the node of a first character, and of a node and a character (sorted keys); -1 is no node."""
+        ids, scores, keys, to = [], [], [], []
+        self.first = np.full(0x110000, -1, np.int32)
+        todo = [(-1, self.trie)]
+        for above, children in todo:
+            for c, (own, score, below) in children.items():
+                if above < 0:
+                    self.first[ord(c)] = len(ids)
+                else:
+                    keys.append(above << 21 | ord(c))
+                    to.append(len(ids))
+                todo.append((len(ids), below))
+                ids.append(-1 if own is None else own[0])
+                scores.append(score)
+        self.node_id, self.node_score = np.array([*ids, -1], np.int64), np.array([*scores, 0], np.int64)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.array(to, np.int64)[order]
+        self.byte_ids = np.array([self.byte[b] for b in range(256)], np.int64)
+
     def in_bytes(self, char: str) -> tuple[tuple[int, ...], int] | None:
         """Ids and score of a character that is no piece."""
         if (node := self.trie.get(char)) is not None and node[0] is not None:
@@ -156,6 +213,103 @@ class PieceLattice:
         gap = best[n] - second[n] if second[n] > NONE // 2 else -NONE
         return best[n], gap, tuple(chain.from_iterable(reversed(out))), len(word.encode("utf-8", "surrogatepass")) - 2 * word.count(SPACE)
 
+    def best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi of many words: columns of score, gap, bytes and number of ids; the ids of all words, one after another."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(sizes <= LONG)
+        if len(short) < FEW:
+            short = short[:0]
+        facts, starts, pools, used = np.empty((4, len(words)), np.int64), np.empty(len(words), np.int64), [], 0
+        if len(short):
+            facts[:, short], flat = self._together([words[k] for k in short.tolist()] if len(short) < len(words) else words)
+            if len(short) == len(words):
+                return facts, flat
+            starts[short] = np.cumsum(facts[3, short]) - facts[3, short]
+            pools, used = [flat], len(flat)
+        alone = np.ones(len(words), bool)
+        alone[short] = False
+        for k in np.flatnonzero(alone).tolist():
+            score, gap, ids, size = self.viterbi(words[k])
+            facts[:, k], starts[k] = (score, gap, size, len(ids)), used
+            pools.append(np.array(ids, np.int64))
+            used += len(ids)
+        return facts, runs(np.concatenate(pools), starts, facts[3])
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """best_of, for all words in one pass over their places: at each, all words step down the trie together.
+
+        Words lie by falling length, so those that reach a place are the first ones. As in viterbi, of equal ways to a
+        place the one whose last piece begins first stays.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        fall, begin = sizes[order], starts[order]
+        longest = int(fall[0])
+        reach = np.searchsorted(-fall, -np.arange(longest + 1), "right").tolist() + [0]  # words of at least i characters
+        base = np.cumsum([0, *reach[:-1]])
+        best, second = (np.full(base[-1], NONE) for _ in range(2))
+        back, piece = np.zeros(base[-1], np.int32), np.zeros(base[-1], np.int32)
+        best[: reach[0]] = 0
+        letters = [chars[begin[: reach[i + 1]] + i] for i in range(longest)]
+
+        def put(i: int, j: int, who: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+            at, after = base[i] + who, base[j] + who
+            v, old = best[at] + score, best[after]
+            up = v > old
+            second[after] = np.where(up, np.maximum(old, second[at] + score), np.maximum(second[after], v))
+            best[after] = np.maximum(old, v)
+            after = after[up]
+            back[after], piece[after] = i, ids[up]
+
+        for i, here in enumerate(letters):
+            node = self.first[here].astype(np.int64)
+            if len(odd := np.flatnonzero(self.node_id[node] < 0)):
+                put(i, i + 1, odd, len(self.text_of) + here[odd], self.byte_score * _widths(here[odd]))
+            who = np.flatnonzero(node >= 0)
+            node, j = node[who], i + 1
+            while len(who):
+                ids = self.node_id[node]
+                if len(ends := np.flatnonzero(ids >= 0)):
+                    put(i, j, who[ends], ids[ends], self.node_score[node[ends]])
+                if j == longest:
+                    break
+                n = np.searchsorted(who, reach[j + 1])
+                who, node = who[:n], node[:n]
+                key = node << 21 | letters[j][who]
+                at = np.searchsorted(self.keys, key)
+                hit = np.flatnonzero(self.keys[at] == key)
+                who, node, j = who[hit], self.to[at[hit]], j + 1
+
+        ends = base[fall] + np.arange(len(words))
+        facts = np.empty((4, len(words)), np.int64)
+        facts[0, order], facts[1, order] = best[ends], np.where(second[ends] > NONE // 2, best[ends] - second[ends], -NONE)
+        facts[2] = np.add.reduceat(_widths(chars) - 2 * (chars == ord(SPACE)), starts)
+        steps, count, who, at = [], np.zeros(len(words), np.int64), np.arange(len(words)), ends
+        while len(who):
+            steps.append((who, piece[at]))
+            count[who] += 1
+            j = back[at]
+            left = np.flatnonzero(j)
+            who = who[left]
+            at = base[j[left]] + who
+        many = np.empty(len(words), np.int64)
+        many[order] = count
+        first = np.cumsum(many) - many
+        last, flat = (first + many - 1)[order], np.empty(int(many.sum()), np.int64)
+        for step, (who, ids) in enumerate(steps):
+            flat[last[who] - step] = ids
+        if (odd := flat >= len(self.text_of)).any():  # characters in bytes
+            code = flat[odd] - len(self.text_of)
+            wide = np.ones(len(flat), np.int64)
+            wide[odd] = _widths(code)
+            raw = code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            flat, many = np.repeat(flat, wide), np.add.reduceat(wide, first)
+            flat[np.repeat(odd, wide)] = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        facts[3] = many
+        return facts, flat
+
     def n_best(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first.
 
@@ -207,26 +361,51 @@ class PieceLattice:
         return [*out, SPACE * marks + parts[-1]]
 
     def encode(self, text: str, n: int) -> list[tuple[int, np.ndarray, list[bytes]]]:
-        """(score, ids, decoded slices) of the n best segmentations of the whole text, best first.
+        """(score, ids, decoded slices) of the n best segmentations of the whole text, best first."""
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: Iterable[str], n: int) -> Iterator[list[tuple[int, np.ndarray, list[bytes]]]]:
+        """encode of each text. The words of many texts are looked up at once, and new ones segmented together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.words(text))
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._encoded(held, n)
+                held, size = [], 0
+        yield from self._encoded(held, n)
+
+    def _encoded(self, held: list[list[str]], n: int) -> Iterator[list[tuple[int, np.ndarray, list[bytes]]]]:
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(held)), np.int64, sum(map(len, held)))
+        if self.known.new:
+            facts, ids = self.best_of([SPACE + w for w in self.known.new])
+            self.rows.extend(facts[:2], (facts[3], ids), (facts[2], self._spelled(ids)))
+        facts, (flat, spelled) = self.rows.read(numbers)
+        # Words beyond the bound of what is remembered have rows for these texts alone.
+        self.known.cut(REMEMBERED)
+        self.rows.cut(REMEMBERED)
+        at = ids_at = byte_at = 0
+        for words in held:
+            own = facts[:, at : at + len(words)]
+            at, ids_end, byte_end = at + len(words), ids_at + int(own[2].sum()), byte_at + int(own[3].sum())
+            yield self._best(words, own, flat[ids_at:ids_end], spelled[byte_at:byte_end].tobytes(), n)
+            ids_at, byte_at = ids_end, byte_end
+
+    def _best(self, words: list[str], facts: np.ndarray, flat: np.ndarray, whole: bytes, n: int) -> list[tuple[int, np.ndarray, list[bytes]]]:
+        """encode of a text of these words, from their facts, the ids of their best segmentations and what these decode to.
 
         Sums over independent words: of the n best, none changes a word beyond the n - 1 words of smallest gap between
         best and second best (of equals, the first), so only those words are searched by A-star.
         """
-        words = self.words(text)
         if not words:
             return [(0, np.empty(0, np.int32), [])]
-        kept = self.rows.n
-        at = np.array(self.numbers(words), np.int64)
-        scores, gap, lengths, sizes = self.rows.facts[:, at]
-        flat = runs(self.rows.pool, self.rows.starts[at], sizes)
-        self.rows.cut(max(kept, min(self.rows.n, REMEMBERED)))
+        scores, gap, sizes, lengths = facts
         ends = np.cumsum(sizes)
         near = np.argsort(gap, kind="stable")[: n - 1] if len(gap) <= 4 * n else self._smallest(gap, n - 1)
         chosen = sorted(int(k) for k in near if gap[k] < -NONE)
         lists = [self.listed(words[k], n) for k in chosen]
         base = int(scores.sum()) - sum(x[0][0] for x in lists)
         picks = self._combine(lists, n)
-        whole = self.decode(flat)
         bytes_end = np.cumsum(lengths)
         out = []
         for pick_ in picks:
@@ -242,19 +421,6 @@ class PieceLattice:
             out.append((score, np.concatenate(pieces), slices))
         return out
 
-    def numbers(self, words: list[str]) -> list[int]:
-        """The words' rows; those beyond the bound of what is remembered have theirs for this text alone."""
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, number in zip(words, found, strict=True) if number is None))
-            best = [self.viterbi(SPACE + w) for w in new]
-            first = self.rows.extend([(score, gap, size) for score, gap, _, size in best], [ids for _, _, ids, _ in best])
-            here = dict(zip(new, range(first, first + len(new)), strict=True))
-            known.update(islice(here.items(), max(0, REMEMBERED - first)))
-            found = [here[w] if number is None else number for w, number in zip(words, found, strict=True)]
-        return found
-
     @staticmethod
     def _smallest(gap: np.ndarray, n: int) -> np.ndarray:
         """Positions of the n smallest, of equals the first."""
@@ -279,12 +445,20 @@ class PieceLattice:
                     heapq.heappush(heap, (lost(d), d))
         return out
 
-    def decode_part(self, ids: tuple[int, ...]) -> bytes:
-        return b"".join([self.text_of[i] for i in ids])
+    def decode_part(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.text_of.__getitem__, ids))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of ids, with the space that encoding puts before the first word."""
-        return runs(self.bytes_pool, self.bytes_start[ids], self.bytes_size[ids]).tobytes()
+        return self._spelled(ids).tobytes()
+
+    def _spelled(self, ids: np.ndarray) -> np.ndarray:
+        return runs(self.bytes_pool, self.bytes_start[ids], self.bytes_size[ids])
+
+
+def _widths(chars: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8."""
+    return 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
 
 
 _loaded: dict[str, PieceLattice] = {}
@@ -320,8 +494,9 @@ def segment(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
         model = lattice(model_path)
         for batch in batches:
             out, all_ids, texts, held = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for rank, (score, ids, slices) in enumerate(model.encode(text.as_py() or "", n), 1):
+            found = model.encode_all((text.as_py() or "" for text in batch.column("text")), n)
+            for doc_id, ranked in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                for rank, (score, ids, slices) in enumerate(ranked, 1):
                     whole = b"".join(slices)[1:]
                     out.append((doc_id, rank, score / UNIT, len(ids), zlib.crc32(ids.astype("<i4", copy=False)), zlib.crc32(whole)))
                     all_ids.append(ids)

@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 import zlib
 
 import numpy as np
@@ -139,3 +141,42 @@ def test_words_beyond_the_bound_are_the_same(monkeypatch):
             got = small.encode(t, 3)
             assert [(s, ids.tolist(), b"".join(x)) for s, ids, x in got] == [(s, ids.tolist(), b"".join(x)) for s, ids, x in w]
     assert small.rows.n == len(small.known) == 100
+
+
+def random_words(n, seed, most=20):
+    r = random.Random(seed)
+    drawn = ("".join(r.choice("etaoinshrdlu" * 4 + "E.,'7\n\x00éß日本語\U0001f600") for _ in range(r.randint(0, most))) for _ in range(n))
+    return [pieces.SPACE * r.choice((1, 1, 1, 2, 5)) + w for w in drawn]
+
+
+@pytest.mark.parametrize("most", [20, 2 * pieces.LONG])
+def test_words_together_are_as_one_by_one(most):
+    words_ = [*random_words(4000, most, most), "▁", "▁" * pieces.LONG, "▁" + "y" * pieces.LONG, "▁" + "e" * (pieces.LONG - 1)]
+    for some in (words_, words_[:3], words_[-2:]):
+        (scores, gaps, lengths, sizes), ids = MODEL.best_of(some)
+        ids = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [(*x[:2], tuple(x[2].tolist()), x[3]) for x in zip(scores, gaps, ids, lengths, strict=True)] == [MODEL.viterbi(w) for w in some]
+
+
+@pytest.mark.parametrize("remembered, chunk", [(10**6, 10**6), (150, 300), (0, 1)])
+def test_many_texts_are_as_one_by_one(monkeypatch, remembered, chunk):
+    texts = ["", *(" ".join(w.lstrip(pieces.SPACE) for w in random_words(150, seed)) for seed in (1, 2, 1, 3)), " ", ""]
+    one, many = pieces.PieceLattice(PATH), pieces.PieceLattice(PATH)
+    want = [[(s, ids.tolist(), b"".join(x)) for s, ids, x in one.encode(t, 3)] for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    for _ in range(2):
+        assert [[(s, ids.tolist(), b"".join(x)) for s, ids, x in found] for found in many.encode_all(iter(texts), 3)] == want
+    assert many.rows.n == len(many.known) == min(remembered, len(one.known))
+
+
+def test_new_words_of_many_texts_take_less_than_one_by_one():
+    model, new = pieces.PieceLattice(PATH), list(dict.fromkeys(w.lstrip(pieces.SPACE) for w in random_words(40_000, 4)))
+    texts = [" ".join(new[i : i + 40]) for i in range(0, len(new), 40)]
+    began = time.process_time()
+    for w in new:
+        model.viterbi(pieces.SPACE + w)
+    alone = time.process_time() - began
+    began = time.process_time()
+    assert len(list(model.encode_all(texts, 1))) == len(texts)
+    assert time.process_time() - began < 0.8 * alone
