@@ -405,8 +405,8 @@ def _fuzzy(ctx, a, b, most=None):
 
 @named("JOIN", least=1, most=2)
 def _join(ctx, items, sep=None):
-    parts = F.transform(items.col, lambda x: text(Value(x, items.element), ""))
-    return text_of(F.array_join(parts, known(sep, "JOIN") if sep is not None else ","))
+    parts = F.transform(items.col, lambda x: text(Value(x, items.element)))
+    return text_of(F.array_join(parts, known(sep, "JOIN") if sep is not None else ","))  # leaves out nulls
 
 
 @named("REPEAT", least=2, most=2)

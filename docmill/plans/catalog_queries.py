@@ -154,7 +154,7 @@ add("sort_limit", "FOR o IN orders SORT o.o_totalprice DESC, o.o_orderkey LIMIT
 
 add("subquery_correlated", "FOR o IN orders LET q = SUM((FOR l IN lineitem FILTER l.l_orderkey == o.o_orderkey RETURN l.l_quantity)) LET n = LENGTH((FOR l IN lineitem FILTER l.l_orderkey == o.o_orderkey AND l.l_discount > 0.05 RETURN 1)) RETURN {k: o.o_orderkey, q, n}", """
     SELECT o_orderkey AS k, coalesce(sum(l_quantity), 0.0) AS q, count(CASE WHEN l_discount > 0.05 THEN 1 END) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-add("subquery_top_per_row", 'FOR c IN customer LET top = (FOR o IN orders FILTER o.o_custkey == c.c_custkey SORT o.o_totalprice DESC LIMIT 2 RETURN o.o_orderkey) RETURN {k: c.c_custkey, top: JOIN(top, ",")}', """
+add("subquery_top_per_row", 'FOR c IN customer LET top = (FOR o IN orders FILTER o.o_custkey == c.c_custkey AND o.o_custkey != null SORT o.o_totalprice DESC LIMIT 2 RETURN o.o_orderkey) RETURN {k: c.c_custkey, top: JOIN(top, ",")}', """
     SELECT c_custkey AS k, coalesce(top, '') AS top FROM customer LEFT JOIN (SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC) AS top
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS rn FROM orders) WHERE rn <= 2 GROUP BY 1) ON o_custkey = c_custkey""")
 add("subquery_uncorrelated", "FOR n IN nation LET rs = (FOR r IN region SORT r.r_name RETURN r.r_name) RETURN {n: n.n_name, rs: JOIN(rs, \",\"), c: LENGTH(rs)}", "SELECT n_name AS n, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS rs, (SELECT count(*) FROM region) AS c FROM nation")

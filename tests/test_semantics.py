@@ -154,3 +154,22 @@ def test_top_per_row_does_not_hang_on_the_files(spark, tmp_path):
         orders.coalesce(1).selectExpr("*", f"{order} AS at").sortWithinPartitions("at").drop("at").write.parquet(f"{tmp_path}/{name}/orders.parquet")
         got.append(sorted(map(tuple, catalog_queries.QUERIES["subquery_top_per_row"](spark, f"{tmp_path}/{name}").collect())))
     assert got == [[(0, "2,6"), (1, "3,7"), (2, "")]] * 3
+
+
+def test_top_per_row_gives_the_rows_of_its_sql_over_null_keys(spark, tmp_path):
+    import duckdb
+    from docmill.plans import catalog_queries
+
+    customers = "VALUES (1), (2), (3), (NULL), (NULL)"
+    orders = "VALUES (10, 1, 5.0), (NULL, 1, 4.0), (11, 1, 3.0), (NULL, 2, 9.0), (NULL, 2, 8.0), (12, 2, 7.0), (13, NULL, 6.0), (14, 3, NULL), (15, 3, 1.0)"
+    db = duckdb.connect()
+    for table, made in (("customer", f"FROM ({customers}) t(c_custkey)"), ("orders", f"FROM ({orders}) t(o_orderkey, o_custkey, o_totalprice)")):
+        db.execute(f"CREATE TABLE {table} AS {made}")
+        db.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    got = bag(map(tuple, catalog_queries.QUERIES["subquery_top_per_row"](spark, str(tmp_path)).collect()))
+    assert got == bag(db.execute(catalog_queries.ORACLE_SQL["subquery_top_per_row"]).fetchall()) == bag([(1, "10"), (2, ""), (3, "15,14"), (None, ""), (None, "")])
+
+
+def test_join_leaves_out_nulls(spark):
+    e = new_engine(spark)
+    assert rows(e, "RETURN [JOIN([1, null, 2], '-'), JOIN(['a', null, ''], '-'), JOIN([null], '-'), JOIN([null, 'b'])]") == [["1-2", "a-", "", "b"]]
